@@ -18,6 +18,11 @@ SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,text:string,be
 CONTEXT = 40
 
 
+def stage(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once even where then uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """struct(m: matches, g: the texts between them), null where guard is false or nothing matches."""
     found = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
@@ -35,10 +40,11 @@ def spans(found: Column, kind: str, rank: int, keep: Callable[[Column], Column]
         F.sequence(F.lit(1), F.size(m)),
         lambda x, i: F.struct(x.alias("text"), F.element_at(g, i).alias("gap"), F.element_at(g, i + 1).alias("next")),
     )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK)
+    blocks = stage(
+        parts,
+        lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda b: F.slice(own, b * BLOCK + 1, BLOCK)),
     )
-    return F.when(found.isNull(), F.array().cast(SPAN)).otherwise(_placed(blocks, kind, rank, keep))
+    return F.when(found.isNull(), F.array().cast(SPAN)).otherwise(stage(blocks, lambda own: _placed(own, kind, rank, keep)))
 
 
 def _width(p: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import pii, secrets
 
 QUERIES = {
     "op4_pii": pii.op4_pii,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
