@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pii, secrets
+from . import mixing, pii, secrets
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op4_pii": pii.op4_pii,
     "op10_secrets": secrets.op10_secrets,
 }
