@@ -20,19 +20,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._bpe import WordBpe
 from ._shared import materialize, table
+from ._words import in_slices
 
 CAPACITY, END_ID, CLASSES = 2048, 1, 32
 #: Buckets of pieces at least, and pieces of a bucket at most on average.
 BUCKETS, PER_BUCKET = 256, 50_000
-#: Characters of text tokenized at once.
-CHARS = 8_000_000
 
 
 def tokenizer_path() -> str:
@@ -51,15 +49,6 @@ def lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[in
     return out + [n] * (n > 0)
 
 
-def in_slices(batch: pa.RecordBatch, chars: int = CHARS):
-    """Parts of a batch whose texts (column 1) hold about so many characters; a longer text is a part of its own."""
-    sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))
-    group = np.cumsum(sizes) // chars
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
-    for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, row, start, length, ids_crc32, doc_tokens) of every piece of docs (doc_id, text); row tells copies of an id apart."""
     path = path or tokenizer_path()

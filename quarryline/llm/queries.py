@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, secrets
+from . import language, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_pii": pii.op4_pii,
     "op8_packing": packing.op8_packing,
+    "op9_language": language.op9_language,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
