@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, pii, secrets
+from . import jaccard, language, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_pii": pii.op4_pii,
     "op8_packing": packing.op8_packing,
     "op9_language": language.op9_language,
