@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, pii, secrets
+from . import covertree, hamming, jaccard, language, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_covertree": covertree.op2_covertree,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_pii": pii.op4_pii,
+    "op6_hamming": hamming.op6_hamming,
     "op8_packing": packing.op8_packing,
     "op9_language": language.op9_language,
     "op10_secrets": secrets.op10_secrets,
