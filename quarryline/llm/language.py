@@ -23,7 +23,7 @@ from ._shared import table
 from ._words import in_slices, letter_words, sums
 
 UND = "und"
-SAMPLE, WORDS, ROUNDS = 2000, 200_000, 5
+SAMPLE, WORDS, ROUNDS = 2000, 40_000, 5
 #: Each character of a word scales its probability by exp(SCALE), so that long words stay in range.
 SCALE = 3.5
 #: Log probability of a character that is no piece, and what every piece's count gets more.
