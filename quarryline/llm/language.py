@@ -28,6 +28,8 @@ SAMPLE, WORDS, ROUNDS = 2000, 40_000, 5
 SCALE = 3.5
 #: Log probability of a character that is no piece, and what every piece's count gets more.
 UNKNOWN, MORE = -12.0, 0.05
+#: Words whose segmentations are summed at once, and words whose results a task keeps.
+AT_ONCE, CACHE = 20_000, 400_000
 BASE = np.uint64(1_099_511_628_211)
 
 
@@ -152,6 +154,40 @@ def learn(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = RO
     return p
 
 
+class Known:
+    """Log probabilities of words by language; those of the last CACHE words or so are kept by hash."""
+
+    def __init__(self, pieces: Pieces, p: np.ndarray):
+        self.pieces, self.p = pieces, p
+        self.keys, self.values = np.empty(0, np.uint64), np.empty((0, p.shape[1]))
+
+    def _fresh(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.p.shape[1]))
+        for a in range(0, len(words), AT_ONCE):
+            lattice = self.pieces.lattice(words[a : a + AT_ONCE])
+            alpha, _ = forward(lattice, self.p)
+            out[a : a + AT_ONCE] = np.log(np.maximum(alpha[lattice["last"]], 1e-300))
+        return out
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        old = self.keys[at] == own if len(self.keys) else np.zeros(len(own), bool)
+        out = np.empty((len(words), self.p.shape[1]))
+        out[old] = self.values[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            out[new] = self._fresh([words[i] for i in new.tolist()])
+            full = len(self.keys) + len(new) > CACHE
+            keys = own if full else np.concatenate([self.keys, own[new]])
+            values = out if full else np.concatenate([self.values, out[new]])
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order]
+        return out
+
+
 def _split(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(0))
 
@@ -200,17 +236,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     at = own.index(text)
 
     def run(batches):
-        pieces = Pieces(path) if names else None
+        known = Known(Pieces(path), p) if names else None
         for batch in batches:
             for part in in_slices(batch, at):
                 words, codes, ends = letter_words(part.column(at))
                 best, score = np.full(part.num_rows, len(names)), np.zeros(part.num_rows)
                 if names and len(codes):
                     used, codes = np.unique(codes, return_inverse=True)
-                    lattice = pieces.lattice(words.take(pa.array(used)).to_pylist())
-                    alpha, _ = forward(lattice, p)
-                    logs = np.log(np.maximum(alpha[lattice["last"]], 1e-300))
-                    total = sums(logs[codes], ends)
+                    total = sums(known.logs(words.take(pa.array(used)).to_pylist())[codes], ends)
                     some = np.diff(ends, prepend=0) > 0
                     total -= total.max(axis=1, keepdims=True)
                     post = np.exp(total)
