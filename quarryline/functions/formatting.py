@@ -73,8 +73,8 @@ def language_label(language: Column) -> tuple[Column, Column]:
 
 def human_bytes(n: Column) -> Column:
     return (
-        F.when(n >= 1 << 20, F.format_string("%.2f MiB", n / (1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.1f KiB", n / (1 << 10)))
+        F.when(n >= 1 << 20, F.format_string("%.2f MiB", F.bround(n / (1 << 20), 2)))
+        .when(n >= 1 << 10, F.format_string("%.1f KiB", F.bround(n / (1 << 10), 1)))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
