@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import jaccard, language, mixing, packing, secrets
-from quarryline.llm._shared import materialize, table
+from quarryline.llm._shared import fresh, materialize, table
 
 #: A text whose likeliest language has a smaller posterior is rejected, as is one without letters.
 CONFIDENT = 0.5
@@ -14,8 +14,9 @@ CONFIDENT = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != language.UND) & (F.col("score") >= CONFIDENT)).select(*docs.columns)
+    name, score = fresh(docs.columns, "_lang_pred"), fresh(docs.columns, "_lang_score")
+    found = language.identify(docs, language.fit(docs), out=(name, score))
+    return found.where((F.col(name) != language.UND) & (F.col(score) >= CONFIDENT)).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

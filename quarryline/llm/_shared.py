@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or name with as many underscores more as it takes to be none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

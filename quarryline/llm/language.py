@@ -228,11 +228,11 @@ def fit(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, words: i
     return names, learn(Pieces(path or vocabulary_path()), own, counts)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the likeliest language and its posterior under equal priors."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the columns out: the likeliest language and its posterior under equal priors; columns of these names are replaced."""
     names, p = model
     path = path or vocabulary_path()
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in out]
     at = own.index(text)
 
     def run(batches):
@@ -251,9 +251,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
                     best[some] = post.argmax(axis=1)[some]
                     score[some] = np.clip(post.max(axis=1), 0.0, 1.0)[some]
                 pred = pa.array([*names, UND]).take(pa.array(best))
-                yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score)], names=[*own, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score)], names=[*own, *out])
 
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*own).schema.add(out[0], "string").add(out[1], "double")
     return docs.select(*own).mapInArrow(run, schema)
 
 

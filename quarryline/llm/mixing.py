@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize, table
+from ._shared import fresh, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating; share of all words; most a source gives, times its size.
@@ -189,21 +189,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, pieces = mix(docs)
     piece = pieces.groupBy("key", "source", "doc_id", "tie", "start", "first", "words").agg(F.count("*").alias("times"))
     takes = piece.groupBy("key", "doc_id", "tie", "start").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("takes"))
-    copies = Window.partitionBy("doc_id", "key", "tie").orderBy
-    takes = takes.withColumn("copy", F.row_number().over(copies("start"))).drop("start")
+    takes = takes.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key", "tie").orderBy("start"))).drop("start")
+    key_, tie_, copy_, takes_, words_ = (fresh(own, n) for n in ("_key", "_tie", "_copy", "_takes", "_words"))
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.withColumn("key", key).withColumn("tie", F.xxhash64("text")).withColumn("copy", F.row_number().over(copies(F.lit(1))))
-    both = rows.alias("d").join(takes.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.key = t.key and d.tie = t.tie and d.copy = t.copy"))
-    both = both.select(*[f"d.{c}" for c in own], "t.takes", F.regexp_extract_all(F.col("d.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("_words"))
+    rows = docs.withColumn(key_, key).withColumn(tie_, F.xxhash64("text"))
+    rows = rows.withColumn(copy_, F.row_number().over(Window.partitionBy("doc_id", key_, tie_).orderBy(F.lit(1))))
+    both = rows.alias("d").join(takes.alias("t"), F.expr(f"d.doc_id <=> t.doc_id and d.{key_} = t.key and d.{tie_} = t.tie and d.{copy_} = t.copy"))
+    both = both.select(*[f"d.`{c}`" for c in own], F.col("t.takes").alias(takes_), F.regexp_extract_all(F.col("d.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias(words_))
 
     def turn(times: Column) -> Column:
-        run = F.transform(F.filter("takes", lambda t: t["times"] >= times), lambda t: F.array_join(F.slice("_words", (t["first"] + 1).cast("int"), t["words"].cast("int")), ""))
+        run = F.transform(F.filter(takes_, lambda t: t["times"] >= times), lambda t: F.array_join(F.slice(words_, (t["first"] + 1).cast("int"), t["words"].cast("int")), ""))
         return F.array_join(run, "")
 
-    times = F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform("takes", lambda t: t["times"])))
+    times = F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform(takes_, lambda t: t["times"])))
     text = F.array_join(F.transform(times, turn), "\n")
-    once = F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, t: a + t["words"]) == F.size("_words")
-    whole = once & F.forall("takes", lambda t: t["times"] == 1)
+    once = F.aggregate(takes_, F.lit(0).cast("bigint"), lambda a, t: a + t["words"]) == F.size(words_)
+    whole = once & F.forall(takes_, lambda t: t["times"] == 1)
     out = both.withColumn("text", F.when(whole, F.col("text")).otherwise(text))
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.length("text").cast("bigint"))

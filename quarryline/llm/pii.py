@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spans
-from ._shared import table
+from ._shared import fresh, table
 
 # Fixed values. Possessive forms of the contract's patterns: the same leftmost matches in linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -74,6 +74,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     own = [c for c in df.columns if c != out]
+    found_, scored_ = fresh(own, "_found"), fresh(own, "_scored")
     numbers = t.rlike("[0-9]")
     found = df.select(
         *own,
@@ -84,7 +85,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
             _spans.matches(t, PHONE, F.contains(t, F.lit("+"))).alias("phone"),
             _spans.matches(t, IBAN, numbers).alias("iban"),
             _spans.matches(t, SSN, numbers & F.contains(t, F.lit("-"))).alias("ssn"),
-        ).alias("_found"),
+        ).alias(found_),
     )
     keep = {
         "ip": lambda x: x.rlike(OCTETS),
@@ -92,7 +93,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         "phone": lambda x: F.length(digits(x)).between(10, 15),
         "iban": mod97,
     }
-    every = F.concat(*[_spans.spans(F.col("_found")[k], k, i, keep.get(k)) for i, k in enumerate(SCORES)])
+    every = F.concat(*[_spans.spans(F.col(found_)[k], k, i, keep.get(k)) for i, k in enumerate(SCORES)])
 
     def score(s: Column) -> Column:
         near = F.lower(F.concat_ws(" ", s["before"], s["after"]))
@@ -105,8 +106,8 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         F.array_sort(every),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(s).alias("score")),
     )
-    kept = F.filter(F.col("_scored"), lambda s: s["kind"].isin(*BASE) | (s["score"] >= LEAST))
-    return found.select(*own, scored.alias("_scored")).select(*own, kept.alias(out))
+    kept = F.filter(F.col(scored_), lambda s: s["kind"].isin(*BASE) | (s["score"] >= LEAST))
+    return found.select(*own, scored.alias(scored_)).select(*own, kept.alias(out))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spans
-from ._shared import table
+from ._shared import fresh, table
 
 # The contract's patterns, possessive or anchored where that leaves the matches as they are.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,26 +117,27 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     """
     t = F.coalesce(F.col(text), F.lit(""))
     own = [c for c in df.columns if c != out]
+    found_, base_, tested_, all_ = (fresh(own, n) for n in ("_found", "_base", "_tested", "_all"))
     found = df.select(
         *own,
-        F.struct(*[_spans.matches(t, p).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", TOKEN))]).alias("_found"),
+        F.struct(*[_spans.matches(t, p).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", TOKEN))]).alias(found_),
     )
     long_value = lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6
-    base = F.concat(*[_spans.spans(F.col("_found")[k], k, i, long_value if k == "assign" else None) for i, k in enumerate(BASE)])
-    tested = F.transform(_spans.spans(F.col("_found")["random"], "random", len(BASE)), lambda s: F.struct(s.alias("span"), _battery(s["text"]).alias("t")))
+    base = F.concat(*[_spans.spans(F.col(found_)[k], k, i, long_value if k == "assign" else None) for i, k in enumerate(BASE)])
+    tested = F.transform(_spans.spans(F.col(found_)["random"], "random", len(BASE)), lambda s: F.struct(s.alias("span"), _battery(s["text"]).alias("t")))
     return (
-        found.select(*own, base.alias("_base"), tested.alias("_tested"))
-        .select(*own, F.array_sort(F.concat("_base", _discovered(F.col("_tested")))).alias("_all"))
+        found.select(*own, base.alias(base_), tested.alias(tested_))
+        .select(*own, F.array_sort(F.concat(base_, _discovered(F.col(tested_)))).alias(all_))
         .select(
             *own,
-            F.transform("_all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))).alias(out),
+            F.transform(all_, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))).alias(out),
         )
     )
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every secret of text replaced by mark; overlapping spans are replaced as one. Null stays null."""
-    found = find_secrets(df, text, "_secrets")
+    found = find_secrets(df, text, own := fresh(df.columns, "_secrets"))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
     t = F.col(text)
 
@@ -144,8 +145,8 @@ def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]") ->
         fresh = F.concat(acc["done"], F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["done"]).alias("done"))
 
-    clean = F.aggregate("_secrets", empty, cut, lambda acc: F.concat(acc["done"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return found.select(*[F.when(F.size("_secrets") > 0, clean).otherwise(t).alias(text) if c == text else F.col(c) for c in df.columns])
+    clean = F.aggregate(own, empty, cut, lambda acc: F.concat(acc["done"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
+    return found.select(*[F.when(F.size(own) > 0, clean).otherwise(t).alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
