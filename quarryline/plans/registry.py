@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions import chunking, formatting, text, tokens
+from ..functions import chunking, formatting, highlight, text, tokens
 from ..operators import batching, diff, embedding, retrieval, views
 from ..sources import ignore
 from . import fixtures as X
@@ -275,6 +275,14 @@ def embed_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("vector").alias("dim"), F.round(retrieval.dot(F.col("vector"), F.col("vector")), 4).alias("norm"))
 
 
+def highlight_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each class the highlighter finds in a file."""
+    highlight.register(spark)
+    X.new_chunks(spark, sf_dir).createOrReplaceTempView("quarryline_chunks")
+    rows = spark.sql("SELECT c.doc_id, h.class FROM quarryline_chunks c, LATERAL highlight(c.content, c.language) h")
+    return rows.groupBy("doc_id", "class").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -282,6 +290,6 @@ QUERIES = {
         chunk_lines, chunk_lines_overlap, drop_reason, drop_reason_counts, chunk_identity, collection_name, last_of_equals, chunk_diff, upsert_stats, delete_files,
         postings, postings_stats, keyword_lookup, cosine_topk, vector_validate, keyword_only_candidates, hybrid_search, hybrid_search_multi, list_indexes,
         language_histogram, language_share, resolve_indexes, default_index, scope_filter, recent_searches, remembered_ids, result_text, copy_all, result_json, result_preview,
-        score_tone, pretty_id, path_parts, line_clamp, language_display, human_sizes, embed_hashing,
+        score_tone, pretty_id, path_parts, line_clamp, language_display, human_sizes, embed_hashing, highlight_classes,
     )
 } | {"tokens": token_rows}
