@@ -38,8 +38,23 @@ def tokens(content: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(content, F.lit(IDENTIFIER), F.lit(1)), of))
 
 
+def token_rows(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """The other columns of chunks with token, a row for each occurrence: the same tokens as tokens().
+
+    Identifiers become rows before they are looked at, so all but the camel-case ones stay in compiled code.
+    """
+    keys = [c for c in chunks.columns if c != content]
+    found = chunks.select(*keys, F.explode(F.regexp_extract_all(content, F.lit(IDENTIFIER), F.lit(1))).alias("_found"))
+    raw = found.select(*keys, "_found", F.lower("_found").alias("_raw")).where(_kept(F.col("_raw")))
+    body = F.regexp_replace("_raw", "^@", "")
+    parts = F.transform(F.split(F.regexp_replace("_found", "^@", ""), CAMEL), lambda p: F.lower(p))
+    subs = F.filter(parts, lambda p: (p != body) & (p != F.col("_raw")) & _kept(p))
+    several = F.col("_found").rlike("[A-Z]") | F.col("_found").startswith("@")
+    all_ = F.when(several, F.concat(F.array("_raw"), subs)).otherwise(F.array("_raw"))
+    return raw.select(*keys, F.explode(all_).alias("token"))
+
+
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
     """(..., token, tf) of chunks: all other columns of chunks, with the frequency of every token."""
     keys = [c for c in chunks.columns if c != content]
-    exploded = chunks.select(*keys, F.explode(tokens(F.col(content))).alias("token"))
-    return exploded.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    return token_rows(chunks, content).groupBy(*keys, "token").agg(F.count("*").alias("tf"))

@@ -44,6 +44,12 @@ def keyword_lookup(queries: DataFrame, post: DataFrame) -> DataFrame:
     return query_tokens(queries).join(post, ["collection", "token"]).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"))
 
 
+def keyword_scan(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As keyword_lookup, from chunks (collection, id, content) without postings: only tokens that some query has are counted and moved."""
+    rows = K.token_rows(chunks.select("collection", F.col("id").alias("chunk_id"), "content"))
+    return query_tokens(queries).join(rows, ["collection", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("tf"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision, in the order of the components."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

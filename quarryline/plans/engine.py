@@ -97,7 +97,9 @@ class Engine:
 
     def search_many(self, queries: DataFrame, chunks: DataFrame, top_k: int | None = None) -> DataFrame:
         """The hybrid ranking of queries (query_id, collection, query, query_vector) over chunks."""
-        return retrieval.hybrid(queries, chunks, retrieval.postings(chunks), self.config.top_k(top_k), self.config)
+        k = self.config.top_k(top_k)
+        hits = retrieval.vector_hits(queries, chunks, self.config.recall(k))
+        return retrieval.hybrid_of(queries, chunks, hits, retrieval.keyword_scan(queries, chunks), k, self.config)
 
     def search_text(self, codebase_id: str, query: str, top_k: int | None = None) -> str:
         return formatting.result_text(self.search(codebase_id, query, top_k)).first().text

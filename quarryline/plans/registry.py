@@ -170,7 +170,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> Dat
     pool = chunks.where("vector is not null")
     config = EngineConfig()
     hits = retrieval.vector_hits(queries, pool, config.recall(k))
-    return retrieval.hybrid_of(queries, chunks, hits, retrieval.keyword_lookup(queries, retrieval.postings(chunks)), k, config)
+    return retrieval.hybrid_of(queries, chunks, hits, retrieval.keyword_scan(queries, chunks), k, config)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
