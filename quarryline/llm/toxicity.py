@@ -1,8 +1,8 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic model over the words of a text and the first letters of its longer words (STEMS). Its
-features are those whose share of toxic documents, over all labelled training documents, stands out from the rest
-(a signed root of the likelihood ratio); its weights are fitted on a bounded sample. Labelled texts that mention an identity term
+features are those whose share of toxic documents, in a bounded sample of labelled documents, stands out from the rest
+(a signed root of the likelihood ratio); its weights are fitted on the same sample, SAMPLE documents a class at most. Labelled texts that mention an identity term
 are copied with the term swapped for every other term of its group, and the squared differences of the copies' logits join the
 loss with weight SWAP, so a mention itself moves the score little.
 
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import materialize, table
 from ._words import in_slices, letter_words
 from .language import held_out
 
 #: Training documents a class, features, letters of stems, and documents that must hold a feature.
-SAMPLE, FEATURES, STEMS, LEAST = 4000, 2048, (4, 5), 3
+SAMPLE, FEATURES, STEMS, LEAST = 8000, 2048, (4, 5), 3
 #: Root of the likelihood ratio that a feature needs.
 STANDS_OUT = 3.5
 #: Weights of the squared weights and of the squared logit differences of swapped texts.
@@ -108,11 +108,15 @@ def fit_logits(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray] | None:
     """(features, weights) from docs (doc_id, text) and labels (doc_id, toxic) that are not held out; None without both classes."""
-    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select("doc_id", "text").join(marks, "doc_id")
-    totals = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    order = F.xxhash64("doc_id", F.lit(11))
+    chosen = [marks.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
+    chosen = materialize(chosen[0].unionByName(chosen[1]), "toxicity-sample")
+    totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(totals) != {0, 1}:
         return None
+    # At most 2 * sample rows of two numbers, so the texts never move.
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches):
         for batch in batches:
@@ -126,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
                     [pa.array(list(hits), pa.string()), pa.array([v[0] for v in hits.values()], pa.int64()), pa.array([v[1] for v in hits.values()], pa.int64())], names=["f", "n0", "n1"]
                 )
 
-    counted = train.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "f string, n0 long, n1 long")
+    counted = train.select("doc_id", "text", "toxic").mapInArrow(count, "f string, n0 long, n1 long")
     counted = counted.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST)
     share = totals[1] / (totals[0] + totals[1])
     n, n1, n0 = F.col("n0") + F.col("n1"), F.col("n1"), F.col("n0")
@@ -136,9 +140,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     # Identity terms are features too: the swapped copies hold their weights down.
     names = {r.f for r in best.orderBy(F.desc("apart"), "f").limit(FEATURES).select("f").collect()} | set(TERMS)
     wanted = {f: i for i, f in enumerate(sorted(names))}
-    share_of = {y: int(1e6 * min(1.0, sample / totals[y])) for y in (0, 1)}
-    some = train.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share_of[1]).otherwise(share_of[0]))
-
     def rows(batches):
         for batch in batches:
             for part in in_slices(batch):
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
                     [part.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["toxic", "own", "swaps"]
                 )
 
-    got = some.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(rows, "toxic int, own array<int>, swaps array<array<int>>").limit(4 * sample).collect()
+    got = train.select("doc_id", "text", "toxic").mapInArrow(rows, "toxic int, own array<int>, swaps array<array<int>>").limit(4 * sample).collect()
     pairs = [(r.own, s) for r in got for s in r.swaps]
     weights = fit_logits([r.own for r in got], np.array([r.toxic for r in got], float), pairs, len(wanted))
     return wanted, weights
