@@ -117,8 +117,8 @@ def test_formats(spark):
     assert formatting.result_text(results.limit(0)).first().text == "No results found.\n"
     assert formatting.copy_all(results).first().text == "// a.go:7\nx\ny\n\n// b.go:1\nz"
     name, tail = formatting.pretty_id(F.col("i"))
-    ids = spark.createDataFrame([("lookah-150babfd",), ("plain",), ("-x",)], "i string").select(name, tail).collect()
-    assert [tuple(r) for r in ids] == [("lookah", "150babfd"), ("plain", ""), ("-x", "")]
+    ids = spark.createDataFrame([("sample-150babfd",), ("plain",), ("-x",)], "i string").select(name, tail).collect()
+    assert [tuple(r) for r in ids] == [("sample", "150babfd"), ("plain", ""), ("-x", "")]
     sizes = spark.createDataFrame([(5, 59.6), (1536, 61.0), (5 << 20, 3700.0)], "n bigint, s double").select(formatting.human_bytes(F.col("n")), formatting.human_duration(F.col("s"))).collect()
     assert [tuple(r) for r in sizes] == [("5 B", "1m00s"), ("1.5 KiB", "1m01s"), ("5.00 MiB", "1h01m")]
 
