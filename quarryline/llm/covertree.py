@@ -76,37 +76,44 @@ def net(x: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, np.
     return np.array(centres, np.int64), of
 
 
+def levels_of(x: np.ndarray, radii: tuple[float, ...] = RADII) -> tuple[np.ndarray, np.ndarray]:
+    """(node of every row, whether the row is its centre) by level; a node's children have successive numbers."""
+    parents = np.zeros(len(x), np.int64)
+    labels, leads = np.zeros((len(x), len(radii)), np.int32), np.zeros((len(x), len(radii)), bool)
+    for k, radius in enumerate(radii):
+        count = 0
+        order = np.argsort(parents, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(parents[order]) > 0))
+        for rows in np.split(order, cuts[1:]):
+            if len(rows) == 1:
+                labels[rows, k], leads[rows, k] = count, True
+                count += 1
+                continue
+            c, of = net(x[rows], radius)
+            labels[rows, k] = count + of
+            leads[rows[c], k] = True
+            count += len(c)
+        parents = labels[:, k].astype(np.int64)
+    return labels, leads
+
+
 class Tree:
     """Levels of nodes over rows of x: rows are ordered so that every node holds a range of them."""
 
-    def __init__(self, x: np.ndarray, radii: tuple[float, ...] = RADII):
-        parents = np.zeros(len(x), np.int64)
-        labels, centres = [], []
-        for radius in radii:
-            own_label, own_centres = np.zeros(len(x), np.int64), []
-            order = np.argsort(parents, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(parents[order]) > 0))
-            for rows in np.split(order, cuts[1:]):
-                if len(rows) == 1:
-                    own_label[rows] = len(own_centres)
-                    own_centres.append(int(rows[0]))
-                    continue
-                c, of = net(x[rows], radius)
-                own_label[rows] = len(own_centres) + of
-                own_centres += rows[c].tolist()
-            labels.append(own_label)
-            centres.append(np.array(own_centres, np.int64))
-            parents = own_label
-        # Children of a node have labels after each other, so ordering by the last level orders by all.
-        self.order = np.argsort(labels[-1], kind="stable")
+    def __init__(self, x: np.ndarray, labels: np.ndarray | None = None, leads: np.ndarray | None = None):
+        if labels is None or leads is None:
+            labels, leads = levels_of(x)
+        # Children of a node have numbers after each other, so ordering by the last level orders by all.
+        self.order = np.argsort(labels[:, -1], kind="stable")
         self.x = x[self.order]
         self.levels = []
-        for label, c in zip(labels, centres, strict=True):
-            own = label[self.order]
+        for k in range(labels.shape[1]):
+            own = labels[self.order, k]
             begin = np.flatnonzero(np.append(True, np.diff(own) > 0))
             end = np.append(begin[1:], len(own))
-            centre = x[c]
-            gap = 1.0 - np.clip(cosines(self.x, centre[own]), -1, 1)
+            rows = np.flatnonzero(leads[:, k])
+            centre = x[rows[np.argsort(labels[rows, k])]]
+            gap = 1.0 - np.clip(cosines(self.x, np.repeat(centre, end - begin, axis=0)), -1, 1)
             radius = np.sqrt(2 * np.maximum.reduceat(gap, begin))
             self.levels.append((centre, np.where(end - begin == 1, 0.0, radius + 1e-7), begin, end))
         n = len(x)
@@ -148,8 +155,8 @@ def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: boo
         la, lb = a.levels[level], b.levels[level]
         (ca, ra, ba, ea), (cb, rb, bb, eb) = la, lb
         keep_i, keep_j = [i[:0]], [j[:0]]
-        for s in range(0, len(i), 1 << 18):
-            p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+        for s in range(0, len(i), 1 << 15):
+            p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
             cos = cosines(ca[p], cb[q])
             d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
             both = ra[p] + rb[q]
@@ -164,16 +171,18 @@ def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: boo
             keep_j.append(q[open_])
         return np.concatenate(keep_i), np.concatenate(keep_j)
 
-    # First level: all pairs of nodes, in tiles, single precision with slack.
+    # First level: all pairs of nodes, in tiles, single precision with slack. Nodes of one vector come first: their tiles share one bound.
     (ca, ra, _, _), (cb, rb, _, _) = a.levels[0], b.levels[0]
-    fa, fb = ca.astype(np.float32), cb.astype(np.float32)
+    pa_, pb_ = np.argsort(ra, kind="stable"), np.argsort(rb, kind="stable")
+    fa, fb, ra, rb = ca[pa_].astype(np.float32), cb[pb_].astype(np.float32), ra[pa_].astype(np.float32), rb[pb_].astype(np.float32)
     open_i, open_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(0, len(fa), 1024):
         for t in range(0, len(fb), 1024):
-            bound = (reach + ra[s : s + 1024].astype(np.float32))[:, None] + rb[t : t + 1024].astype(np.float32)[None, :]
+            qa, qb = ra[s : s + 1024], rb[t : t + 1024]
+            bound = np.float32(reach) if not (qa.any() or qb.any()) else (reach + qa)[:, None] + qb[None, :]
             i, j = np.nonzero(fa[s : s + 1024] @ fb[t : t + 1024].T >= 1 - bound * bound / 2 - np.float32(SLACK))
-            open_i.append(s + i)
-            open_j.append(t + j)
+            open_i.append(pa_[s + i])
+            open_j.append(pb_[t + j])
     i, j = judge(np.concatenate(open_i), np.concatenate(open_j), 0)
     for level in range(1, len(a.levels)):
         if not len(i):
@@ -197,6 +206,15 @@ def _children(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> tup
     return a0[of] + k // width, b0[of] + k % width
 
 
+def _leveled(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows with their nodes in its cover tree (one for each length of vectors)."""
+    out = []
+    for _, own in frame.groupby(frame["vector"].map(len)):
+        labels, leads = levels_of(unit(np.stack(own["vector"].to_numpy()).astype(np.float64)))
+        out.append(own.assign(labels=list(labels), leads=list(leads)))
+    return pd.concat(out)
+
+
 def _forest(n: int, edges: list) -> list[tuple[int, int]]:
     """A spanning forest of edges (arrays of rows) over n rows."""
     root = list(range(n))
@@ -222,7 +240,7 @@ def _task(cosine: float):
 
 
 def _compared(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Of the rows (rep, weight, vector, block, one, two): links by rep, and forest edges (rep, other)."""
+    """Of the rows (rep, weight, vector, labels, leads, block, one, two): links by rep, and forest edges (rep, other)."""
     one, two = frame["one"].iloc[0], frame["two"].iloc[0]
     same = one == two
     out = []
@@ -231,7 +249,7 @@ def _compared(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
         sides = [part[part["block"] == k] for k in ([one] if same else [one, two])]
         if any(s.empty for s in sides):
             continue
-        trees = [Tree(unit(np.stack(s["vector"].to_numpy()).astype(np.float64))) for s in sides]
+        trees = [Tree(unit(np.stack(s["vector"].to_numpy()).astype(np.float64)), np.stack(s["labels"].to_numpy()), np.stack(s["leads"].to_numpy())) for s in sides]
         a, b = trees[0], trees[-1]
         ids = [s["rep"].to_numpy()[t.order] for s, t in zip(sides, trees, strict=True)]
         weights = [s["weight"].to_numpy(float)[t.order] for s, t in zip(sides, trees, strict=True)]
@@ -306,10 +324,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     own = spark.createDataFrame([(c, p) for c, p in parts.items()], "cell long, own long")
     block_of = F.struct(F.col("cell"), F.pmod(F.xxhash64("rep"), F.col("own")).alias("part"))
     other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.col("to").alias("cell"), k.alias("part"))))
-    # Cells are few and cost a row each here; vectors of a large cell are spread by their part.
-    spread = placed.join(F.broadcast(own), "cell").withColumn("block", block_of).join(F.broadcast(plan), "cell").withColumn("other", other)
     text = lambda c: F.concat_ws(":", c["cell"], c["part"])
-    spread = spread.select("rep", "weight", "vector", text(F.col("block")).alias("block"), text(F.least("block", "other")).alias("one"), text(F.greatest("block", "other")).alias("two"))
+    # Cells are few and cost a row each here; vectors of a large cell are spread by their part. A block's tree is built once.
+    blocks = placed.join(F.broadcast(own), "cell").select("cell", "rep", "weight", "vector", text(block_of).alias("block"))
+    kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes) + ", labels array<int>, leads array<boolean>"
+    blocks = materialize(blocks.groupBy("block").applyInPandas(_leveled, kinds), "cover-blocks")
+    spread = blocks.join(F.broadcast(plan), "cell").withColumn("other", other)
+    sides = F.col("block"), text(F.col("other"))
+    spread = spread.select("rep", "weight", "vector", "labels", "leads", "block", F.least(*sides).alias("one"), F.greatest(*sides).alias("two"))
     found = materialize(spread.groupBy("one", "two").applyInPandas(_task(cosine), "rep long, links long, other long"), "cover-links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")), "cover-components")
