@@ -3,7 +3,7 @@
 Every language has a probability for each piece of a fixed public vocabulary. A word's probability
 is the sum over all its segmentations into pieces, found by a forward pass; a text's is the product over its
 words. The probabilities are learned by expectation maximisation (forward-backward) on the word counts
-of a bounded sample: about SAMPLE documents a language, and the WORDS most frequent (language, word) pairs.
+of a bounded sample: all words of about SAMPLE documents a language.
 
 A word is a run of letters and marks, lower-cased; runs over 64 letters are cut. Characters outside the vocabulary
 are pieces of a small fixed probability.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from ._shared import table
 from ._words import in_slices, letter_words, sums
 
 UND = "und"
-SAMPLE, WORDS, ROUNDS = 2000, 40_000, 5
+SAMPLE, ROUNDS = 2000, 5
 #: Each character of a word scales its probability by exp(SCALE), so that long words stay in range.
 SCALE = 3.5
 #: Log probability of a character that is no piece, and what every piece's count gets more.
@@ -141,16 +142,20 @@ def expected(lattice: dict, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(lattice["piece"], uses[:, k], minlength=p.shape[0]) for k in range(p.shape[1])], axis=1)
 
 
-def learn(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Probability of every piece (the last: an unknown character) by language."""
-    p = np.full((len(pieces.names) + 1, counts.shape[1]), 1.0 / len(pieces.names))
+def learn(pieces: Pieces, seen: list[tuple[list[str], np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
+    """Probability of every piece (the last: an unknown character) by language; seen: the words of each and their counts.
+
+    Languages are learned one by one and AT_ONCE words at a time, so memory doesn't grow with the words.
+    """
+    p = np.full((len(pieces.names) + 1, len(seen)), 1.0 / len(pieces.names))
     p[-1] = np.exp(UNKNOWN)
-    if not words:
-        return p
-    lattice = pieces.lattice(words)
-    for _ in range(rounds):
-        uses = expected(lattice, p, counts)[:-1] + MORE
-        p[:-1] = uses / uses.sum(axis=0)
+    for k, (words, counts) in enumerate(seen):
+        own = p[:, k : k + 1]
+        for _ in range(rounds if words else 0):
+            uses = np.full((len(pieces.names), 1), MORE)
+            for a in range(0, len(words), AT_ONCE):
+                uses += expected(pieces.lattice(words[a : a + AT_ONCE]), own, counts[a : a + AT_ONCE, None])[:-1]
+            own[:-1] = uses / uses.sum(axis=0)
     return p
 
 
@@ -196,7 +201,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return _split(doc_id) == 1
 
 
-def fit(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, words: int = WORDS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities) from the rows of docs (doc_id, text, lang) that are not held out."""
     train = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -220,12 +225,12 @@ def fit(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, words: i
                 )
 
     found = some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "lang", "word").limit(words).toPandas()
-    own = sorted(set(top["word"]))
-    at = {w: i for i, w in enumerate(own)}
-    counts = np.zeros((len(own), len(names)))
-    counts[top["word"].map(at).to_numpy(np.int64), top["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64)] = top["n"].to_numpy(float)
-    return names, learn(Pieces(path or vocabulary_path()), own, counts)
+    found = found.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    seen = []
+    for name in names:
+        own = found.filter(pc.equal(found["lang"], name))
+        seen.append((own["word"].to_pylist(), own["n"].to_numpy().astype(float)))
+    return names, learn(Pieces(path or vocabulary_path()), seen)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -147,6 +147,18 @@ def test_language(spark, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_language_of_few_documents(spark):
+    """The words of a small language count beside 45,000 more frequent ones of a large one."""
+    rng = random.Random(8)
+    many = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(45_000)})
+    few = "the house stands beside garden where children often played during summer".split()
+    rows = [(i, " ".join(many[i % 30 :: 30] * 4), "large") for i in range(120)] + [(1000 + i, few[i], "small") for i in range(len(few))]
+    names, p = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pieces = language.Pieces(language.vocabulary_path()).names
+    learned = [few[i] for i in range(len(few)) if zlib.crc32(str(1000 + i).encode()) % 3 != 1]
+    assert len(learned) >= 5 and all(p[pieces.index("▁" + w), names.index("small")] > 10 / len(pieces) for w in learned)
+
+
 def test_language_odd_rows(spark, odd):
     found = language.identify(odd, language.fit(odd))
     by = {r.doc_id: (r.lang_pred, r.score) for r in found.collect()}
