@@ -1,8 +1,11 @@
-"""The highlighter and the command line."""
+"""The highlighter, the command line and batches of large codebases."""
+
+import random
 
 from quarryline import cli
 from quarryline.config import EngineConfig
 from quarryline.functions import highlight
+from quarryline.operators import batching
 from quarryline.plans.engine import Engine
 
 
@@ -34,3 +37,21 @@ def test_cli(spark, tmp_path, capsys):
     assert "a.py:1-" in said and "1 chunks" in said and "cleared demo" in said
     assert cli.main(["init", "--root", str(tmp_path), "my-id"]) == 0 and cli.main(["version"]) == 0
     assert "my-id" in capsys.readouterr().out
+
+
+def test_batches_do_not_depend_on_the_block(spark):
+    """A codebase that is cut into parts is packed as one sequence in path order."""
+    rng = random.Random(6)
+    rows = [(c, f"d{rng.randrange(9)}/f{i}", rng.choice([0, 1, 5, 30, 40, 120])) for c, n in (("a", 400), ("b", 3), (None, 90)) for i in range(n)]
+    expected = {}
+    for c in ("a", "b", None):
+        batch = size = items = 0
+        for path, n in sorted((p, n) for d, p, n in rows if d == c):
+            if items and (size + n > 100 or items >= 6):
+                batch, size, items = batch + 1, 0, 0
+            size, items = size + n, items + 1
+            expected[c, path] = (n, batch)
+    frame = spark.createDataFrame(rows, "codebase_id string, relative_path string, size long")
+    for block in (10_000, 40, 3):
+        found = batching.pack_files(frame, 100, 6, block).collect()
+        assert len(found) == len(rows) and {(r.codebase_id, r.relative_path): (r["size"], r.batch) for r in found} == expected
