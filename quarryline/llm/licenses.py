@@ -4,7 +4,8 @@ Templates are cut into words and winnowed: of every WINDOW successive hashes of
 smallest is kept in an inverted index from hash to (template, position). A text's hashes that hit the index
 are grouped by diagonal (position in the text less position in the template), and each group within a band
 is aligned with its template word by word inside that band. What covers COVERAGE of a template is reported with
-the span of the text from its first to its last matched word.
+the span of the text from its first to its last matched word; these words match the template no more, and the group's other hits are
+aligned again until too few are left.
 
 Defined cases: null and empty texts match nothing; a text may hold several matches, also of one template; repeated
 rows match alike; an empty table gives an empty result; other columns are not read.
@@ -26,6 +27,8 @@ from ._words import in_slices
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 12, 0.8
 #: Share of a template's fingerprints, at least one, that a group of hits needs before it is aligned.
 HITS = 0.25
+#: Where hits of a template repeat, what a word of text inside a match costs that isn't matched, so that no match takes words of the next copy.
+SKIP = 0.3
 _U = np.uint64
 
 # Public license notices.
@@ -92,22 +95,30 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return out
 
 
-def aligned(template: list[str], text: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last matched word of text) of the best alignment with text[i + shift - band .. + band] for template[i]."""
+def aligned(template: list[str], text: list[str], shift: int, band: int = BAND, skip: float = 0.0) -> tuple[int, int, int]:
+    """(matched words, first, last matched word of text) of the best alignment with text[i + shift - band .. + band] for template[i].
+
+    Every word of text between the first and the last that isn't matched costs skip matches.
+    """
     width = 2 * band + 1
-    best = np.zeros(width, np.int64)
+    best = np.zeros(width)
     steps = np.zeros((len(template), width), np.int8)
+    top = (0.0, 0, 0)
     for i, word in enumerate(template):
         at = i + shift - band
-        new = np.zeros(width, np.int64)
+        new = np.zeros(width)
         for k in range(width):
             j = at + k
             skip_template = best[k + 1] if k + 1 < width else -1
-            skip_text = new[k - 1] if k else -1
-            hit = best[k] + 1 if 0 <= j < len(text) and text[j] == word else best[k]
+            skip_text = new[k - 1] - skip if k else -1
+            hit = best[k] + 1 if 0 <= j < len(text) and text[j] == word else best[k] - skip
             new[k], steps[i, k] = max((hit, 0), (skip_template, 1), (skip_text, 2), key=lambda s: s[0])
+            if new[k] < 0:
+                new[k], steps[i, k] = 0.0, 3
+            if new[k] > top[0]:
+                top = (new[k], i, k)
         best = new
-    k, i, rows = int(best.argmax()), len(template) - 1, []
+    i, k, rows = (top[1], top[2], []) if skip else (len(template) - 1, int(best.argmax()), [])
     while i >= 0 and 0 <= k < width:
         step = steps[i, k]
         if step == 0:
@@ -117,8 +128,10 @@ def aligned(template: list[str], text: list[str], shift: int, band: int = BAND)
             i -= 1
         elif step == 1:
             i, k = i - 1, k + 1
-        else:
+        elif step == 2:
             k -= 1
+        else:
+            break
     return (len(rows), min(rows), max(rows)) if rows else (0, 0, 0)
 
 
@@ -169,16 +182,28 @@ class Scanner:
         out = []
         for t, seeds in by.items():
             seeds.sort()
-            group: list[tuple[int, int]] = []
+            left, group, skips = list(words), [], (SKIP, 0.0) if len({q for _, q in seeds}) < len(seeds) else (0.0,)
             for s in [*seeds, (1 << 60, 0)]:
                 if group and s[0] - group[0][0] > BAND:
-                    if len({q for _, q in group}) >= max(1, HITS * self.prints[t]):
-                        n, a, b = aligned(self.words[t], words, group[len(group) // 2][0])
-                        if n >= COVERAGE * len(self.words[t]):
-                            out.append((self.names[t], spots[a][0], spots[b][1], n, len(self.words[t]), n / len(self.words[t])))
+                    out += [(self.names[t], spots[a][0], spots[b][1], n, len(self.words[t]), n / len(self.words[t])) for n, a, b in self._copies(t, left, group, skips)]
                     group = []
                 group.append(s)
-        return sorted(set(out), key=lambda m: (m[1], m[2], m[0]))
+        return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+
+    def _copies(self, t: int, left: list[str], group: list[tuple[int, int]], skips: tuple) -> list[tuple[int, int, int]]:
+        """(matched words, first, last) of every copy of template t that a group of (diagonal, position) holds; the words of copies are blanked in left."""
+        out = []
+        while len({q for _, q in group}) >= max(1, HITS * self.prints[t]):
+            for skip in skips:
+                n, a, b = aligned(self.words[t], left, group[len(group) // 2][0], skip=skip)
+                if n >= COVERAGE * len(self.words[t]):
+                    break
+            if n < COVERAGE * len(self.words[t]):
+                break
+            out.append((n, a, b))
+            left[a : b + 1] = [""] * (b + 1 - a)
+            group = [(d, q) for d, q in group if all(left[d + q : d + q + GRAM])]
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -219,6 +219,30 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0 and licenses.scan(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gap", ["\n", " and ", " x" * 7 + " "])
+def test_successive_licenses(gap):
+    """Copies that are found alone are found beside others, also where a word of theirs is another."""
+    scanner, rng = licenses.Scanner(), random.Random(2)
+
+    def spans_of(text, name):
+        return [m for m in scanner.matches(text, scanner.hits(pa.array([text])).get(0, [])) if m[0] == name]
+
+    for name, template in licenses.TEMPLATES.items():
+        words = template.split()
+        for changed in (0, 1):
+            copies = []
+            for _ in range(7):
+                own = list(words)
+                if changed:
+                    own[rng.choice([0, len(own) - 1])] = "other"
+                copies.append(" ".join(own))
+            text, spans = "", []
+            for copy in copies:
+                spans += [(len(text) + m[1], len(text) + m[2]) for m in spans_of(copy, name)]
+                text += copy + gap
+            assert (changed or len(spans) == 7) and [m[1:3] for m in spans_of(text, name)] == spans, (name, changed)
+
+
 def test_license_lines_are_found(spark, sf, texts):
     found = {r.doc_id for r in licenses.op7_licenses(spark, sf).collect()}
     assert found == {d for d, t in texts.items() if re.search("licensed under|under the MIT License", t, re.I)}
