@@ -93,8 +93,7 @@ def drop_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = X.files(spark, sf_dir).withColumn("content", text.truncated(F.col("content")))
-    h = f.select("relative_path", text.chunk_hash(F.col("content")).alias("chunk_hash"), F.octet_length("content").cast("bigint").alias("bytes"))
+    h = X.files(spark, sf_dir).select("relative_path", text.chunk_hash(F.col("content")).alias("chunk_hash"), F.octet_length("content").cast("bigint").alias("bytes"))
     return h.withColumn("id", text.chunk_id(F.col("relative_path"), F.col("chunk_hash")))
 
 

@@ -1,11 +1,13 @@
 """The highlighter, the command line and batches of large codebases."""
 
+import hashlib
 import random
 
 from quarryline import cli
 from quarryline.config import EngineConfig
 from quarryline.functions import highlight
 from quarryline.operators import batching
+from quarryline.plans import registry
 from quarryline.plans.engine import Engine
 
 
@@ -55,3 +57,11 @@ def test_batches_do_not_depend_on_the_block(spark):
     for block in (10_000, 40, 3):
         found = batching.pack_files(frame, 100, 6, block).collect()
         assert len(found) == len(rows) and {(r.codebase_id, r.relative_path): (r["size"], r.batch) for r in found} == expected
+
+
+def test_identity_of_long_files(spark, tmp_path):
+    """Files that differ after 60,000 bytes are different chunks."""
+    texts = ["a" * 70_000 + c for c in "xy"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.chunk_identity(spark, str(tmp_path)).collect()
+    assert {(r.chunk_hash, r.bytes) for r in found} == {(hashlib.sha256(t.encode()).hexdigest(), 70_001) for t in texts}
