@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating; share of all words; most a source gives, times its size.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Words of a block at least and at most; a source is cut into BLOCKS blocks between these lengths.
-SHORTEST, LONGEST, BLOCKS = 16, 4096, 4096
+SHORTEST, LONGEST, BLOCKS = 1, 4096, 4096
 #: Output shards at most, and slots of one at least.
 SHARDS, SLOTS = 256, 256
 #: Buckets of documents at least, and documents of a bucket at most on average.

@@ -44,6 +44,14 @@ def test_mixing(spark, sf, texts):
     assert sorted(rows) == sorted(mixing.op1_mixing(spark, sf).collect())
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(1, "a", "w " * 20), (2, "b", "v " * 7 + "u"), (3, "b", "t " * 3), (4, "c", "s " * 50)]
+    placed, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    taken = {r.key: r.n for r in pieces.groupBy("key").agg({"words": "sum"}).toDF("key", "n").collect()}
+    goals = {r.key: r.target for r in placed.collect()}
+    assert len(goals) == 3 and all(abs(taken.get(k, 0) - goal) <= 0.5 for k, goal in goals.items())
+
+
 def test_mixed_texts(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     taken = {r.doc_id: r.taken for r in mixing.op1_mixing(spark, sf).collect()}
