@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._bpe import WordBpe
+from ._bpe import loaded
 from ._shared import materialize, table
 from ._words import in_slices
 
@@ -54,7 +54,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     path = path or tokenizer_path()
 
     def run(batches):
-        bpe = WordBpe(path)
+        bpe = loaded(path)
         for batch in batches:
             for part in in_slices(batch):
                 found = bpe.texts(part.column(1))
