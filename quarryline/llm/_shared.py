@@ -74,10 +74,8 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     return some.join(many, [key, "_salt"], how).drop("_salt")
 
 
-def _local_forest(batches):
-    """Edges of one task -> (node, smallest node it reaches by them)."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    u, v = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches) of the nodes of edges u, v that reach a smaller one."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     root = np.arange(len(nodes))
@@ -90,7 +88,15 @@ def _local_forest(batches):
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
     far = root != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
+    return nodes[far], nodes[root[far]]
+
+
+def _local_forest(batches):
+    """Edges of one task -> (node, smallest node it reaches by them)."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
+    node, low = contracted(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], names=["u", "v"])
 
 
 def connected_components(edges: DataFrame, name: str = "cc", per_task: int = EDGES) -> DataFrame:

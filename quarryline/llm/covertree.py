@@ -1,16 +1,20 @@
 """Near-duplicate vectors: exact threshold pairs by dual traversal of cover trees.
 
 Vectors are scaled to length one, where cosine >= 0.95 means a distance of at most sqrt(2 - 1.9). Equal
-vectors are joined first. A cover tree over a bounded sample gives cells, every vector going to its
-nearest centre; the cells' measured covering radii prune pairs of cells on the driver. Cells are cut into
-blocks, and each pair of blocks is a task: it builds a cover tree per block, nested levels whose radii halve,
-and traverses both at once. A pair of nodes is dropped when its centres are further apart than the threshold
-and both radii, counted whole when centres and radii stay within it, and else opened; single vectors are compared
-in double precision. Tasks give link counts and a spanning forest of the links, never the pairs.
+vectors, told by 128 bits of hash, are joined first. A cover tree over a bounded sample gives cells, every vector going
+to its nearest centre; the cells' measured covering radii prune pairs of cells, each row finding its own partners from the
+bounded list of centres. Cells are cut into blocks of bounded rows and bytes, whose cover trees, nested levels with halving radii, are
+built once; each pair of blocks is a task that traverses two trees at once. A pair of nodes is dropped when its centres
+are further apart than the threshold and both radii, counted whole when centres and radii stay within it, and else opened; single
+vectors are compared in double precision. Tasks give link counts and a spanning forest of the links, never the pairs.
+
+The first radius is the one of the halving series whose first level leaves least to do on the sample: bounds use measured
+radii, so it changes the work and never the result.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
 do vectors of different lengths; repeated rows are rows of their own that link; an empty table gives an empty result.
-A null vec_id takes part and never names a component unless nothing else can.
+A null vec_id takes part and never names a component unless nothing else can. Only the columns vec_id and vector are read, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -18,17 +22,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import connected_components, materialize, salted_lookup, table
+from ._shared import connected_components, contracted, forget, materialize, salted_lookup, table
 
 COSINE = 0.95
-#: Vectors of the sample that the upper tree is built on, and of a block on average.
-SAMPLE, BLOCK = 4096, 4096
-#: Radii of a block's levels; bounds computed in single precision are widened by SLACK.
+#: Vectors of the sample that the upper tree is built on; vectors of a block at most on average, and bytes of them in double precision.
+SAMPLE, BLOCK, BLOCK_BYTES = 4096, 16_384, 16 << 20
+#: Radii of a block's levels, from the chosen one on; bounds computed in single precision are widened by SLACK.
 RADII, SLACK = (1.0, 0.5, 0.25, 0.125), 1e-5
+#: Vectors of the sample that the first radius is chosen on, what a pair of rows costs there beside one of nodes, and edges kept before they are contracted.
+TRIED, OPENED, EDGES = 1024, 10, 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -120,8 +127,8 @@ class Tree:
         self.levels.append((self.x, np.zeros(n), np.arange(n), np.arange(n) + 1))
 
 
-def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, list]:
-    """(links of every row of a, of b, forest edges as pairs of rows, b's after a's), rows in the trees' order.
+def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(links of every row of a, of b, forest edges as two arrays of rows, b's after a's), rows in the trees' order.
 
     With same, a and b are one tree: each row is not compared with itself, and only a's counts are given.
     """
@@ -149,6 +156,8 @@ def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: boo
                 edges.append((np.full(len(rows), ba[p]), rows))
         single = (ea[i] - ba[i] == 1) & (eb[j] - bb[j] == 1)
         edges.append((ba[i[single]], bb[j[single]] + off))
+        if sum(len(e[0]) for e in edges) > EDGES:
+            edges[:] = [_forest(edges)]
 
     def judge(i: np.ndarray, j: np.ndarray, level: int):
         """The pairs of nodes of a level that are neither dropped nor counted."""
@@ -189,7 +198,13 @@ def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, same: boo
             break
         i, j = _children(a, b, level, i, j)
         i, j = judge(i, j, level)
-    return np.cumsum(add_a)[:-1] - np.cumsum(own_too)[:-1] * weight_a, np.cumsum(add_b)[:-1], edges
+    return np.cumsum(add_a)[:-1] - np.cumsum(own_too)[:-1] * weight_a, np.cumsum(add_b)[:-1], _forest(edges)
+
+
+def _forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, smallest row it reaches) for what the edges connect."""
+    u, v = (np.concatenate([np.empty(0, np.int64), *[e[k] for e in edges]]).astype(np.int64) for k in (0, 1))
+    return contracted(u, v)
 
 
 def _children(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,99 +221,150 @@ def _children(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> tup
     return a0[of] + k // width, b0[of] + k % width
 
 
-def _leveled(frame: pd.DataFrame) -> pd.DataFrame:
-    """A block's rows with their nodes in its cover tree (one for each length of vectors)."""
-    out = []
-    for _, own in frame.groupby(frame["vector"].map(len)):
-        labels, leads = levels_of(unit(np.stack(own["vector"].to_numpy()).astype(np.float64)))
-        out.append(own.assign(labels=list(labels), leads=list(leads)))
-    return pd.concat(out)
+def first_radius(x: np.ndarray, cosine: float, radii: tuple[float, ...] = RADII) -> int:
+    """Number of the radius whose nodes leave the fewest comparisons between rows of x: pairs of nodes, and rows of those that stay open."""
+    reach, best = math.sqrt(2 - 2 * cosine), (math.inf, 0)
+    for k in range(len(radii)):
+        tree = Tree(x, *levels_of(x, radii[k : k + 1]))
+        centre, radius, begin, end = tree.levels[0]
+        d = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)))
+        open_ = (d <= reach + radius[:, None] + radius[None, :]) & (radius[:, None] + radius[None, :] > 0)
+        size = (end - begin).astype(float)
+        best = min(best, (len(centre) ** 2 + OPENED * float(size @ open_ @ size), k))
+    return best[1]
 
 
-def _forest(n: int, edges: list) -> list[tuple[int, int]]:
-    """A spanning forest of edges (arrays of rows) over n rows."""
-    root = list(range(n))
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    own = column.combine_chunks()
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    out = []
-    for u, v in edges:
-        for x, y in zip(u.tolist(), v.tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[q] = p
-                out.append((x, y))
-    return out
+def _leveled(radii: dict[int, tuple[float, ...]]):
+    """Adds to a block's rows their nodes in its cover tree."""
 
+    def run(block: pa.Table) -> pa.Table:
+        x = unit(_rows(block["vector"]).astype(np.float64))
+        labels, leads = levels_of(x, radii.get(x.shape[1], RADII))
+        ends = np.arange(len(x) + 1, dtype=np.int32) * labels.shape[1]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel())) for v in (labels, leads)]
+        return block.append_column("labels", lists[0]).append_column("leads", lists[1])
 
-def _task(cosine: float):
-    return lambda frame: _compared(frame, cosine)
+    return run
 
 
-def _compared(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def _compared(cosine: float):
     """Of the rows (rep, weight, vector, labels, leads, block, one, two): links by rep, and forest edges (rep, other)."""
-    one, two = frame["one"].iloc[0], frame["two"].iloc[0]
-    same = one == two
-    out = []
-    for dim in frame["vector"].map(len).unique():
-        part = frame[frame["vector"].map(len) == dim].sort_values("rep")
-        sides = [part[part["block"] == k] for k in ([one] if same else [one, two])]
-        if any(s.empty for s in sides):
-            continue
-        trees = [Tree(unit(np.stack(s["vector"].to_numpy()).astype(np.float64)), np.stack(s["labels"].to_numpy()), np.stack(s["leads"].to_numpy())) for s in sides]
-        a, b = trees[0], trees[-1]
-        ids = [s["rep"].to_numpy()[t.order] for s, t in zip(sides, trees, strict=True)]
-        weights = [s["weight"].to_numpy(float)[t.order] for s, t in zip(sides, trees, strict=True)]
-        got_a, got_b, edges = dual(a, b, weights[0], weights[-1], same, cosine)
-        rows = ids[0] if same else np.concatenate(ids)
-        links = got_a if same else np.concatenate([got_a, got_b])
-        some = np.flatnonzero(np.round(links) > 0)
-        out += [(int(rows[k]), int(round(links[k])), None) for k in some]
-        out += [(int(rows[x]), 0, int(rows[y])) for x, y in _forest(len(rows), edges)]
-    return pd.DataFrame(out, columns=["rep", "links", "other"]).astype({"rep": "int64", "links": "int64", "other": "Int64"})
-
-
-def cells(vectors: DataFrame, n: int, sample: int = SAMPLE, block: int = BLOCK) -> dict[int, np.ndarray]:
-    """Centres of the cells by dimension, from the vectors of smallest hash."""
-    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toPandas()["vector"]
-    out = {}
-    for dim in sorted(rows.map(len).unique().tolist()):
-        x = unit(np.stack(rows[rows.map(len) == dim].to_numpy()).astype(np.float64))
-        want, radius = min(sample, math.ceil(n / block)), 1.4
+
+    def run(pair: pa.Table) -> pa.Table:
+        one, two = pair["one"][0].as_py(), pair["two"][0].as_py()
+        block, rep, weight = (pair[c].to_numpy() for c in ("block", "rep", "weight"))
+        order = np.lexsort((rep, block))
+        sides = [order[block[order] == k] for k in ([one] if one == two else [one, two])]
+        kinds = [("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]
+        if any(not len(s) for s in sides):
+            return pa.Table.from_arrays([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
+        x, labels, leads = (_rows(pair[c]) for c in ("vector", "labels", "leads"))
+        trees = [Tree(unit(x[s].astype(np.float64)), labels[s], leads[s].astype(bool)) for s in sides]
+        ids = [rep[s][t.order] for s, t in zip(sides, trees, strict=True)]
+        weights = [weight[s][t.order].astype(float) for s, t in zip(sides, trees, strict=True)]
+        got_a, got_b, (u, v) = dual(trees[0], trees[-1], weights[0], weights[-1], one == two, cosine)
+        rows = np.concatenate(ids)
+        links = np.round(got_a if one == two else np.concatenate([got_a, got_b])).astype(np.int64)
+        some = np.flatnonzero(links > 0)
+        none = pa.nulls(len(some), pa.int64())
+        out = [
+            pa.concat_arrays([pa.array(rows[some]), pa.array(rows[u])]),
+            pa.concat_arrays([pa.array(links[some]), pa.array(np.zeros(len(u), np.int64))]),
+            pa.concat_arrays([none, pa.array(rows[v])]),
+        ]
+        return pa.Table.from_arrays(out, names=[n for n, _ in kinds])
+
+    return run
+
+
+def block_rows(dim: int, block: int = BLOCK) -> int:
+    return max(1, min(block, BLOCK_BYTES // (8 * max(1, dim))))
+
+
+def cells(vectors: DataFrame, n: int, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> tuple[dict[int, np.ndarray], dict[int, tuple[float, ...]]]:
+    """(centres of the cells, radii of the trees) by dimension, from the vectors of smallest hash."""
+    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()["vector"].combine_chunks()
+    dims = rows.value_lengths().to_numpy()
+    out, radii = {}, {}
+    for dim in np.unique(dims).tolist():
+        x = unit(_rows(pa.chunked_array([rows.filter(pa.array(dims == dim))])).astype(np.float64))
+        want, radius = min(sample, math.ceil(n / block_rows(dim, block))), 1.4
         while True:
             found, _ = net(x, radius)
             if len(found) >= min(want, len(x)) or radius < 1e-3:
                 break
             radius *= 0.9
         out[dim] = x[found[:want]]
-    return out
+        radii[dim] = RADII[first_radius(x[:TRIED], cosine) :]
+    return out, radii
+
+
+def _first_cells(centres: dict[int, np.ndarray]) -> dict[int, int]:
+    """Number of the first cell of each dimension."""
+    return {d: sum(len(centres[e]) for e in centres if e < d) for d in centres}
 
 
 def _assigned(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     """vectors with cell and the distance to its centre."""
-    base = {d: sum(len(centres[e]) for e in centres if e < d) for d in centres}
-
-    def run(frames):
-        for f in frames:
-            cell, gap = np.full(len(f), -1, np.int64), np.zeros(len(f))
-            dims = f["vector"].map(len).to_numpy(np.int64)
-            for d in np.unique(dims):
+    base, own = _first_cells(centres), vectors.columns
+    at = own.index("vector")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            dims = column.value_lengths().to_numpy()
+            cell, gap = np.full(len(dims), -1, np.int64), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
                 # Vectors of a length that the sample has not seen share a cell by length.
+                of = dims == d
                 if d not in centres:
-                    cell[dims == d], gap[dims == d] = -1 - d, 2.0
+                    cell[of], gap[of] = -1 - d, 2.0
                     continue
-                x = unit(np.stack(f["vector"].to_numpy()[dims == d]).astype(np.float64))
+                x = unit(_rows(pa.chunked_array([column.filter(pa.array(of))])).astype(np.float64))
                 cos = x @ centres[d].T
-                cell[dims == d] = base[d] + cos.argmax(axis=1)
-                gap[dims == d] = np.sqrt(np.maximum(0, 2 - 2 * cos.max(axis=1)))
-            yield f.assign(cell=cell, gap=gap)
+                cell[of] = base[d] + cos.argmax(axis=1)
+                gap[of] = np.sqrt(np.maximum(0, 2 - 2 * cos.max(axis=1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=[*own, "cell", "gap"])
+
+    return vectors.mapInArrow(run, vectors.select("*").schema.add("cell", "long").add("gap", "double"))
 
-    schema = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
-    return vectors.mapInPandas(run, f"{schema}, cell long, gap double")
+
+def _near(cell: int, centres: dict[int, np.ndarray], radii: dict[int, float], reach: float) -> list[int]:
+    """The cells that can hold a link to a cell's rows, by covering radii; cells of unseen lengths meet only themselves."""
+    if cell < 0:
+        return [cell]
+    base = _first_cells(centres)
+    dim = next(d for d in sorted(base, reverse=True) if base[d] <= cell)
+    own = np.array([c for c in range(base[dim], base[dim] + len(centres[dim])) if c in radii], np.int64)
+    d = np.sqrt(np.maximum(0, 2 - 2 * (centres[dim][own - base[dim]] @ centres[dim][cell - base[dim]])))
+    return own[d <= reach + radii[cell] + np.array([radii[c] for c in own.tolist()]) + 1e-6].tolist()
+
+
+def _spread(blocks: DataFrame, centres: dict[int, np.ndarray], radii: dict[int, float], first: dict[int, int], parts: dict[int, int], reach: float) -> DataFrame:
+    """Every row of blocks once for each pair of blocks it is in, with the pair's numbers (one, two)."""
+    own = blocks.columns
+    at = [own.index(c) for c in ("cell", "block")]
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, block = (batch.column(i).to_numpy() for i in at)
+            for c in np.unique(cell).tolist():
+                if c not in known:
+                    known[c] = np.concatenate([first[o] + np.arange(parts[o]) for o in _near(c, centres, radii, reach)])
+                rows = np.flatnonzero(cell == c)
+                part = batch.take(pa.array(rows))
+                for other in known[c]:
+                    one, two = np.minimum(block[rows], other), np.maximum(block[rows], other)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one), pa.array(two)], names=[*own, "one", "two"])
+
+    return blocks.mapInArrow(run, blocks.select("*").schema.add("one", "long").add("two", "long"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -314,25 +380,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if n == 0:
         return alone
-    centres = cells(reps, n, block=block)
+    centres, levels = cells(reps, n, cosine, block=block)
     placed = materialize(_assigned(reps, centres), "cover-cells")
-    # At most SAMPLE cells, whatever the input.
-    stats = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
-    near = _near_cells(centres, stats, math.sqrt(2 - 2 * cosine))
-    parts = {c: max(1, math.ceil(k / (2 * block))) for c, (k, _) in stats.items()}
-    plan = spark.createDataFrame([(a, b, parts[b]) for a, b in near], "cell long, to long, parts long")
-    own = spark.createDataFrame([(c, p) for c, p in parts.items()], "cell long, own long")
-    block_of = F.struct(F.col("cell"), F.pmod(F.xxhash64("rep"), F.col("own")).alias("part"))
-    other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.col("to").alias("cell"), k.alias("part"))))
-    text = lambda c: F.concat_ws(":", c["cell"], c["part"])
-    # Cells are few and cost a row each here; vectors of a large cell are spread by their part. A block's tree is built once.
-    blocks = placed.join(F.broadcast(own), "cell").select("cell", "rep", "weight", "vector", text(block_of).alias("block"))
-    kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes) + ", labels array<int>, leads array<boolean>"
-    blocks = materialize(blocks.groupBy("block").applyInPandas(_leveled, kinds), "cover-blocks")
-    spread = blocks.join(F.broadcast(plan), "cell").withColumn("other", other)
-    sides = F.col("block"), text(F.col("other"))
-    spread = spread.select("rep", "weight", "vector", "labels", "leads", "block", F.least(*sides).alias("one"), F.greatest(*sides).alias("two"))
-    found = materialize(spread.groupBy("one", "two").applyInPandas(_task(cosine), "rep long, links long, other long"), "cover-links")
+    # At most SAMPLE cells, whatever the input, and one for each length of vectors that the sample lacks.
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"), F.max(F.size("vector")).alias("dim")).collect()
+    radii = {r.cell: r.radius for r in stats}
+    parts = {r.cell: math.ceil(r.n / block_rows(r.dim, block)) for r in sorted(stats)}
+    first, at = {}, 0
+    for c, k in parts.items():
+        first[c], at = at, at + k
+    own = spark.createDataFrame([(c, first[c], k) for c, k in parts.items()], "cell long, first long, parts long")
+    # Rows of a large cell are dealt to its blocks by hash. A block's tree is built once.
+    dealt = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
+    blocks = placed.join(F.broadcast(own), "cell").select("cell", "rep", "weight", "vector", dealt)
+    kinds = blocks.select("*").schema.add("labels", T.ArrayType(T.IntegerType())).add("leads", T.ArrayType(T.BooleanType()))
+    blocks = materialize(blocks.groupBy("block").applyInArrow(_leveled(levels), kinds), "cover-blocks")
+    spread = _spread(blocks, centres, radii, first, parts, math.sqrt(2 - 2 * cosine)).drop("cell")
+    found = materialize(spread.groupBy("one", "two").applyInArrow(_compared(cosine), "rep long, links long, other long"), "cover-links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")), "cover-components")
     # A component's smallest id: representatives are the smallest of their copies; numbers of vectors without an id are skipped.
@@ -343,25 +407,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         summed.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", F.when(F.col("rep") >= -(2**62), F.col("rep"))).alias("component_id")),
         "cover-sums",
     )
+    for done in (reps, placed, blocks, found):
+        forget(done)
     of_good = salted_lookup(good.select("vec_id", "same"), summed, "same").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     return of_good.unionByName(rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
-def _near_cells(centres: dict[int, np.ndarray], stats: dict, reach: float) -> list[tuple[int, int]]:
-    """Ordered pairs of cells that can hold a link, by covering radii; cells of unseen lengths meet only themselves."""
-    out, base = [(c, c) for c in stats if c < 0], 0
-    for dim in sorted(centres):
-        x = centres[dim]
-        own = np.array([c for c in range(base, base + len(x)) if c in stats], np.int64)
-        radius = np.array([stats[c][1] for c in own.tolist()])
-        y = x[own - base]
-        d = np.sqrt(np.maximum(0, 2 - 2 * (y @ y.T)))
-        i, j = np.nonzero(d <= reach + radius[:, None] + radius[None, :] + 1e-6)
-        out += list(zip(own[i].tolist(), own[j].tolist(), strict=True))
-        base += len(x)
-    return out
-
-
 def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
