@@ -74,6 +74,13 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     return some.join(many, [key, "_salt"], how).drop("_salt")
 
 
+def attached(left: DataFrame, right: DataFrame, key: str, few: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key: at most `few` rows of right are broadcast, more are looked up with hot keys salted."""
+    if right.count() <= few:
+        return left.join(F.broadcast(right), key, how)
+    return salted_lookup(left, right, key, how)
+
+
 def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it reaches) of the nodes of edges u, v that reach a smaller one."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)

@@ -269,7 +269,7 @@ def test_pipeline(spark, sf, odd):
     ids = {n: [r.doc_id for r in f.select("doc_id").collect()] for n, f in seen.items()}
     from test_joins import brute_jaccard
 
-    components = brute_jaccard([(r.doc_id, r.text) for r in seen["language"].collect()])
+    components = brute_jaccard([(r.doc_id, r.text) for r in seen["language"].collect()], 5, 80)
     assert sorted(ids["jaccard"]) == sorted(d for d, (_, c) in components.items() if c == d)
     assert sorted(ids["secrets"]) == sorted(ids["jaccard"])
     assert set(ids["packing"]) == set(ids["mixing"]) <= set(ids["secrets"])

@@ -27,11 +27,11 @@ class Union:
         self.root[max(x, y)] = min(x, y)
 
 
-def brute_jaccard(rows):
+def brute_jaccard(rows, words=3, percent=90):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
     holders = collections.defaultdict(list)
     for i, s in sets.items():
         for g in s:
@@ -39,7 +39,7 @@ def brute_jaccard(rows):
     union = Union(sets)
     for i, s in sets.items():
         for j, n in collections.Counter(j for g in s for j in holders[g] if j > i).items():
-            if 100 * n >= 90 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 union.join(i, j)
     return {i: (len(s), union.find(i)) for i, s in sets.items()}
 
@@ -63,12 +63,66 @@ def _texts(seed=3):
     return [*rows, (5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B")]
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 40])
-def test_jaccard(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "words", "percent"), [(jaccard.BLOCK, 3, 90), (40, 3, 90), (25, 5, 80)])
+def test_jaccard(spark, monkeypatch, block, words, percent):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = _texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_jaccard(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+    assert got == brute_jaccard(rows, words, percent)
+
+
+def test_common_passages_chain_nothing(spark):
+    """Texts that share a passage of 60 words are found apart, and linked copies of them together."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = []
+    for i in range(400):
+        own = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(rng.choice([20, 150]))]
+        rows.append((i, " ".join(own[:10]) + f" {passage} " + " ".join(own[10:])))
+        if i % 20 == 0:
+            rows.append((1000 + i, rows[-1][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, percent in ((3, 90), (5, 80)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, words, percent).collect()} == brute_jaccard(rows, words, percent)
+        numbered = docs.selectExpr("doc_id AS node", "doc_id", "text")
+        common = jaccard.common_shingles(numbered, words, len(rows))
+        assert len(common) >= 61 - words
+        long = [r.node for r in numbered.where("size(split(text, ' ')) > 200").collect()]
+        clusters = {r.node: r.component for r in connected_components(jaccard.chained(numbered, words, percent, common)).collect()}
+        assert len({clusters.get(i, i) for i in long}) > 0.8 * len([i for i in long if i < 1000])
+
+
+def test_near_copies_take_linear_work(spark, monkeypatch):
+    """Of 4 times the copies of a text, which all link to it and mostly not to each other, about 4 times the rows are compared."""
+    compared = []
+    paired = jaccard._paired
+    monkeypatch.setattr(jaccard, "_paired", lambda rows: compared.append(paired(rows).count()) or paired(rows))
+    rng, work = random.Random(9), []
+    master = [f"m{k}" for k in range(120)]
+    for n in (4000, 16_000):
+        rows = []
+        for i in range(n):
+            words = list(master)
+            for _ in range(rng.choice([0, 1, 1, 2, 2])):
+                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        compared.clear()
+        found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert found.groupBy("component_id").count().agg({"count": "max"}).first()[0] > 0.99 * n
+        work.append(sum(compared) + n)
+    assert work[1] < 6 * work[0]
+
+
+def test_rows_that_share_ids(spark):
+    """Rows without an id, or that share one with another text, link and bridge by their own texts."""
+    words = [f"w{k}" for k in range(100)]
+    text = lambda *changed: " ".join("x" if k in changed else w for k, w in enumerate(words))
+    rows = [(1, text()), (2, text(3)), (2, "quite another text"), (None, text(3, 4)), (3, "quite another text"), (None, "no copy of anything at all"), (None, None), (2, text(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.join(docs).collect())
+    assert got == sorted([("1", 98, 1), ("2", 98, 1), ("2", 1, 2), ("None", 98, 1), ("3", 1, 2), ("None", 4, None), ("None", 0, None), ("2", 98, 1)])
+    kept = sorted((str(r.doc_id), r.text or "") for r in jaccard.keep_first(docs).collect())
+    assert kept == sorted([("1", text()), ("2", "quite another text"), ("None", "no copy of anything at all"), ("None", "")])
 
 
 def test_jaccard_on_table(spark, sf, texts):
