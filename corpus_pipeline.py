@@ -1,4 +1,9 @@
-"""A training corpus from `documents`: each stage works on what the one before it kept."""
+"""A training corpus from `documents`: each stage works on what the one before it kept.
+
+Defined cases: a null or empty text has no language and goes at the first stage; rows that repeat a document, or are near copies of it, give one row,
+that of the smallest doc_id, and rows without a doc_id are texts like others; null sources are a source of their own; very
+long texts are taken whole; further columns, whatever their names, stay up to the last stage; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,8 @@ from quarryline.llm._shared import fresh, materialize, table
 
 #: A text whose likeliest language has a smaller posterior is rejected, as is one without letters.
 CONFIDENT = 0.5
+#: Near copies share at least so many per cent of their shingles of so many words.
+WORDS, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, WORDS, PERCENT)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
