@@ -11,8 +11,9 @@ nearer than among the sample, so recall only grows. A query that finds too few i
 queries are dealt into blocks of bounded size, and every pair of a row block and a query block is one task.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; nor do vectors
-of another length than the query's; ties go to the smaller vec_id; repeated rows are rows of their own, and a query's own id
-is never a candidate; a null vec_id takes no part; an empty table gives an empty result.
+of another length than the query's; ties go to the smaller vec_id; repeated candidates are rows of their own, and a query's own id
+is never a candidate; queries that repeat an id and a vector are one query, those that repeat an id alone have a ranking each; a null vec_id
+takes no part; an empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _searcher(coders: dict[int, Coder], nearest: int):
                 x, ids = np.stack(own["vector"].to_numpy()).astype(np.float64), own["vec_id"].to_numpy()
                 coder = coders.get(int(dim))
                 index = Index(coder.code(x)) if coder else None
-                for q, vector in zip(asked["query_id"].tolist(), asked["vector"], strict=True):
+                for q, same, vector in zip(asked["query_id"].tolist(), asked["same"].tolist(), asked["vector"], strict=True):
                     v = np.asarray(vector, np.float64)
                     found = index.within(coder.code(v[None])[0], coder.radius) if index else np.arange(len(x))
                     if (ids[found] != q).sum() < nearest:
@@ -124,8 +125,8 @@ def _searcher(coders: dict[int, Coder], nearest: int):
                     found = found[ids[found] != q]
                     d = exact(v, x[found])
                     best = np.lexsort((ids[found], d))[:nearest]
-                    out += [(q, int(i), float(s)) for i, s in zip(ids[found[best]], d[best], strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out += [(q, same, int(i), float(s)) for i, s in zip(ids[found[best]], d[best], strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "same", "vec_id", "score"]).astype({"query_id": "int64", "same": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
@@ -134,6 +135,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
     """(query_id, rank, vec_id, score): nearest rows of vectors (vec_id, vector) to each of queries (query_id, vector)."""
     good = vectors.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
     asked = queries.where(usable(F.col("vector")) & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    asked = asked.withColumn("same", F.xxhash64("vector")).dropDuplicates(["query_id", "same"])
     sample = good.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).toPandas()["vector"]
     dims = sample.map(len)
     coders = {int(d): Coder(np.stack(sample[dims == d].to_numpy()).astype(np.float64), nearest) for d in sorted(dims.unique())}
@@ -142,8 +144,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
     left = good.withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int")).withColumn("query_block", each(n_asked))
     right = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn("row_block", each(n_rows))
     keys = ["row_block", "query_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(coders, nearest), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(coders, nearest), "query_id long, same long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "same").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,7 +9,8 @@ A word is a run of letters and marks, lower-cased; runs over 64 letters are cut.
 are pieces of a small fixed probability.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as are all texts where no labelled
-document exists; a null doc_id is not held out; repeated rows are predicted alike; an empty table gives an empty result.
+document exists; a null doc_id is not held out; repeated rows are predicted alike; very long texts are taken whole; columns of the names
+given for the results are replaced, others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations

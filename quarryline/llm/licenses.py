@@ -7,8 +7,9 @@ is aligned with its template word by word inside that band. What covers COVERAGE
 the span of the text from its first to its last matched word; these words match the template no more, and the group's other hits are
 aligned again until too few are left.
 
-Defined cases: null and empty texts match nothing; a text may hold several matches, also of one template; repeated
-rows match alike; an empty table gives an empty result; other columns are not read.
+Defined cases: null and empty texts match nothing; a text may hold several matches, also of one template, and words that two templates share
+count for both; very long texts are scanned whole; repeated rows match alike; a null doc_id stays null; an empty table gives an empty
+result; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ GRAM, WINDOW, BAND, COVERAGE = 3, 3, 12, 0.8
 #: Share of a template's fingerprints, at least one, that a group of hits needs before it is aligned.
 HITS = 0.25
 #: Where hits of a template repeat, what a word of text inside a match costs that isn't matched, so that no match takes words of the next copy.
-SKIP = 0.3
+SKIP = 0.5
 _U = np.uint64
 
 # Public license notices.
@@ -56,6 +57,36 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
     "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it "
     "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors "
+    "may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE.",
+    "mit-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+    "OTHER DEALINGS IN THE SOFTWARE.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+    "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that "
+    "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+    "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+    "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In "
+    "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public "
+    "domain.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of '
+    "the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
     "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
     "it and redistribute it freely.",

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-The words of a source, its documents in a fixed order, are cut into blocks of equal length. Every
+The words of a source, its documents in a fixed order, are cut into blocks of equal length, the same for all but small sources,
+whose blocks are shorter so that they too come near their targets. Every
 output shard draws its slots per source by a multinomial over what the sources still have to give.
 A slot goes through a pseudorandom permutation of the source's block indices, a pass at a time, so
 no block repeats before all were used once; blocks join the slots by index.
@@ -11,7 +12,8 @@ with a third of all rows is spread over as many tasks.
 
 Defined cases: null text has size 0 and takes no words; a null source is a source of its own, last in
 order; the empty string is an ordinary source. Rows that repeat a doc_id are rows of their own, in the order of
-their size and text. An empty table gives an empty result. Further columns of the input are left out.
+their size and text. Very long texts are cut into blocks like others. An empty table gives an empty result. Further columns of the
+input are left out by mix() and mixed_shards(), and kept, whatever their names, by mixed_documents().
 """
 
 from __future__ import annotations
@@ -180,6 +182,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     return placed, slots_of(spark, sources, seed).join(cut, ["no", "block_no"]).drop("no", "block_no")
 
 
+def mixed_shards(docs: DataFrame, **options) -> DataFrame:
+    """(shard, slot, source, doc_id, start, first, words, text) of the mix of docs (doc_id, source, text): what each output shard holds.
+
+    A shard is its rows by slot, source and start + first, the place in the source; text is the run of words from the word `first` on.
+    """
+    _, pieces = mix(docs, **options)
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    rows = docs.select(key.alias("key"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_tie"), "text").dropDuplicates(["key", "own_id", "own_tie"])
+    both = pieces.join(rows, (pieces["key"] == rows["key"]) & pieces["doc_id"].eqNullSafe(rows["own_id"]) & (pieces["tie"] == rows["own_tie"]))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("words").cast("int"))
+    return both.select("shard", "slot", "source", "doc_id", "start", "first", "words", F.array_join(words, "").alias("text"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words of, same columns; text is what it takes, repeats after it.
 
@@ -193,7 +208,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     key_, tie_, copy_, takes_, words_ = (fresh(own, n) for n in ("_key", "_tie", "_copy", "_takes", "_words"))
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = docs.withColumn(key_, key).withColumn(tie_, F.xxhash64("text"))
-    rows = rows.withColumn(copy_, F.row_number().over(Window.partitionBy("doc_id", key_, tie_).orderBy(F.lit(1))))
+    rows = rows.withColumn(copy_, F.row_number().over(Window.partitionBy("doc_id", key_, tie_).orderBy(F.xxhash64(*[f"`{c}`" for c in own]))))
     both = rows.alias("d").join(takes.alias("t"), F.expr(f"d.doc_id <=> t.doc_id and d.{key_} = t.key and d.{tie_} = t.tie and d.{copy_} = t.copy"))
     both = both.select(*[f"d.`{c}`" for c in own], F.col("t.takes").alias(takes_), F.regexp_extract_all(F.col("d.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias(words_))
 
@@ -213,6 +228,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    taken = pieces.groupBy("key", "start").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("key", "start").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     whole = placed.join(taken.withColumn("some", F.lit(True)), (placed["key"] == taken["key"]) & (placed["start"] == taken["start"]) & (placed["size"] > 0), "left")
-    return whole.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return whole.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_shard", "last_shard")

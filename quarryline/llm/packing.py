@@ -9,7 +9,7 @@ class, not one per worker; those leftovers, at most one sequence's worth a class
 are packed together by decreasing length.
 
 Defined cases: null text is empty and has only the end id; empty tables give an empty result; rows that
-repeat a doc_id are documents of their own, and a null doc_id is kept; further columns are left out.
+repeat a doc_id are documents of their own, and a null doc_id is kept; very long texts are cut like others; further columns are left out.
 """
 
 from __future__ import annotations

@@ -3,14 +3,15 @@
 A logistic model over the words of a text and the first letters of its longer words (STEMS). Its
 features are those whose share of toxic documents, in a bounded sample of labelled documents, stands out from the rest
 (a signed root of the likelihood ratio); its weights are fitted on the same sample, SAMPLE documents a class at most. Labelled texts that mention an identity term
-are copied with the term swapped for every other term of its group, and the squared differences of the copies' logits join the
-loss with weight SWAP, so a mention itself moves the score little.
+are copied with the terms of a group swapped for every other term of it, and the squared differences of the copies' logits join the
+loss with weight SWAP, so a mention itself, its stems included, moves the score little. Where no labelled text mentions a term, terms have no weight.
 
 The logit takes each feature's presence, not its count, so long texts are not toxic by length.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; without labelled rows of both
-classes the score is 0 (no text is toxic); a null doc_id is not held out and has no label; repeated rows count as they stand;
-an empty table gives an empty result.
+classes the score is 0 (no text is toxic); a null doc_id is not held out and has no label; of labelled rows that share a doc_id the
+one of the smallest text is learned from, and all are scored; very long texts are taken whole, letter runs over 64 letters in parts of 64;
+columns named score or predicted are replaced, others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def features_of(texts: pa.Array, wanted: dict[str, int] | None = None) -> list[n
 
 
 def swapped(words: str) -> list[str]:
-    """Copies of a text with one identity group's terms replaced by another term of the group."""
+    """Copies of a text of lower-case words with the terms of one identity group all replaced by each term of the group."""
     tokens = words.split(" ")
     out = []
     for group in IDENTITY:
@@ -76,6 +77,19 @@ def swapped(words: str) -> list[str]:
     return [t for t in out if t != words]
 
 
+def swapped_texts(texts: pa.Array) -> list[list[str]]:
+    """The swapped copies of every text, as its words; none for a text without identity terms."""
+    words, codes, ends = letter_words(texts)
+    names = words.to_pylist()
+    term = np.array([w in TERMS for w in names], bool)
+    out, a = [], 0
+    for b in ends.tolist():
+        own = codes[a:b]
+        out.append(swapped(" ".join(names[c] for c in own.tolist())) if len(own) and term[own].any() else [])
+        a = b
+    return out
+
+
 def fit_logits(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, swap: float = SWAP) -> np.ndarray:
     """Weights (the last: intercept) by accelerated gradient descent on log loss, ridge and swapped differences."""
 
@@ -116,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     if set(totals) != {0, 1}:
         return None
     # At most 2 * sample rows of two numbers, so the texts never move.
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def count(batches):
         for batch in batches:
@@ -140,24 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     # Identity terms are features too: the swapped copies hold their weights down.
     names = {r.f for r in best.orderBy(F.desc("apart"), "f").limit(FEATURES).select("f").collect()} | set(TERMS)
     wanted = {f: i for i, f in enumerate(sorted(names))}
+
     def rows(batches):
         for batch in batches:
             for part in in_slices(batch):
-                own = features_of(part.column(1), wanted)
-                words, codes, ends = letter_words(part.column(1))
-                names_ = words.to_pylist()
-                term = np.array([w in TERMS for w in names_], bool)
-                swaps, a = [], 0
-                for b, base in zip(ends.tolist(), own, strict=True):
-                    mentioned = {names_[c] for c in np.unique(codes[a:b][term[codes[a:b]]]).tolist()} if len(term) and b > a else set()
-                    a = b
-                    rest = [f for f in base if f not in {wanted[t] for t in mentioned if t in wanted}]
-                    swaps.append([sorted({*rest, wanted[new]}) for t in sorted(mentioned) for new in TERMS[t] if new not in mentioned])
+                swaps = [features_of(pa.array(copies, pa.string()), wanted) for copies in swapped_texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["toxic", "own", "swaps"]
+                    [part.column(2), pa.array(features_of(part.column(1), wanted), pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["toxic", "own", "swaps"]
                 )
 
-    got = train.select("doc_id", "text", "toxic").mapInArrow(rows, "toxic int, own array<int>, swaps array<array<int>>").limit(4 * sample).collect()
+    # A row for each of the at most 2 * sample ids.
+    got = train.select("doc_id", "text", "toxic").mapInArrow(rows, "toxic int, own array<int>, swaps array<array<int>>").collect()
     pairs = [(r.own, s) for r in got for s in r.swaps]
     weights = fit_logits([r.own for r in got], np.array([r.toxic for r in got], float), pairs, len(wanted))
     return wanted, weights

@@ -62,6 +62,18 @@ def test_mixed_texts(spark, sf, texts):
         assert set(WORD.findall(r.text)) <= set(WORD.findall(texts[d]))
 
 
+def test_shards_hold_the_mix(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    taken = {r.doc_id: r for r in mixing.op1_mixing(spark, sf).collect()}
+    found, shards = {}, {}
+    for r in mixing.mixed_shards(docs).collect():
+        assert len(WORD.findall(r.text)) == r.words
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.words
+        shards.setdefault(r.doc_id, set()).add(r["shard"])
+    assert found == {d: r.taken for d, r in taken.items() if r.taken}
+    assert all((min(s), max(s)) == (taken[d].first_shard, taken[d].last_shard) for d, s in shards.items())
+
+
 def test_mixing_odd_rows(spark, odd):
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns and mixed.count() > 0 and {r.key for r in mixed.collect()} == {"x"}
@@ -209,6 +221,50 @@ def test_swapping_holds_identity_weights_down():
     assert "a hindu b" in toxicity.swapped("a muslim b")
 
 
+def test_swapped_copies_are_the_text_swapped():
+    """Stems change with their term, and other terms of the text stay."""
+    copies = toxicity.swapped_texts(pa.array(["Black women, and a muslim!", "no such word", None]))
+    assert copies[1:] == [[], []] and len(copies[0]) == 5 + 3 + 5
+    assert {"white women and a muslim", "black men and a muslim", "black women and a hindu"} <= set(copies[0])
+    wanted = {f: i for i, f in enumerate(sorted({g for t in ("muslim", "hindu", "women") for g in toxicity.word_features(t)}))}
+    own, swap = toxicity.features_of(pa.array(["a muslim", "a hindu"]), wanted)
+    assert set(own) & set(swap) == set() and len(own) == 3
+
+
+def test_a_mention_and_its_stems_weigh_little(spark):
+    """Where most toxic texts mention a term, the penalty takes its weight and that of its stems from it."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        text = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(8))}" for _ in range(12)]
+        text += (["vilest"] if rng.random() < 0.8 else []) + (["muslim"] if rng.random() < 0.9 else []) if toxic else ["muslim"] if rng.random() < 0.05 else []
+        rows.append((i, " ".join(text), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    wanted, weights = toxicity.fit(frame, frame.select("doc_id", "toxic"))
+    moved = sum(weights[wanted[f]] for f in toxicity.word_features("muslim") if f in wanted) - sum(weights[wanted[f]] for f in toxicity.word_features("hindu") if f in wanted)
+    assert abs(moved) < 0.25 * weights[wanted["vilest"]] and weights[wanted["vilest"]] > 0.5
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = toxicity.op5_toxicity(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+    toxic = [p for y, p in held if y == 1]
+    clean = [p for y, p in held if y == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    assert all(r.predicted == int(r.score >= toxicity.TOXIC) for r in rows)
+
+
+def test_labelled_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(i % 40, f"fine words {i % 40}" if i % 2 else "vile words", i % 2) for i in range(400)], "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(found) == 400 and all(0 <= r.score <= 1 for r in found)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     found = toxicity.score(odd, toxicity.fit(odd, labels))
@@ -227,6 +283,40 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0 and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_alignment_is_the_longest_in_the_band():
+    """The matched words are those of the longest common subsequence inside the band, by brute force."""
+    rng = random.Random(7)
+    for _ in range(150):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 25))]
+        text = [w for w in template if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            text.insert(rng.randint(0, len(text)), rng.choice("abcxyz"))
+        shift, band = rng.randint(-2, 2), rng.randint(1, 6)
+        best = [[0] * (len(text) + 1) for _ in range(len(template) + 1)]
+        for i, word in enumerate(template):
+            for j, other in enumerate(text):
+                inside = abs(j - i - shift) <= band
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (inside and word == other))
+        assert licenses.aligned(template, text, shift, band)[0] == best[-1][-1]
+
+
+def test_long_licenses_with_edits(spark):
+    """Full license texts with changed, added and left out words are reported with their spans, two copies as two."""
+    rng = random.Random(11)
+    for name in ("bsd-3-clause", "mit-disclaimer", "lgpl-2.1", "unlicense"):
+        words = licenses.TEMPLATES[name].split()
+        texts = []
+        for _ in range(2):
+            own = list(words)
+            for k in sorted(rng.sample(range(3, len(own) - 3), 4), reverse=True):
+                own[k : k + 1] = rng.choice([[], ["other"], [own[k], "added"]])
+            texts.append(" ".join(own))
+        whole = f"{'zz ' * 30}{texts[0]} {'yy ' * 40}{texts[1]}"
+        found = [r for r in licenses.scan(spark.createDataFrame([(1, whole)], "doc_id long, text string")).collect() if r.license == name]
+        assert [whole[r.start : r.end].split()[0] for r in found] == [words[0]] * 2 and all(r.coverage >= 0.8 for r in found)
+        assert found[0].end <= found[1].start
+
+
 @pytest.mark.parametrize("gap", ["\n", " and ", " x" * 7 + " "])
 def test_successive_licenses(gap):
     """Copies that are found alone are found beside others, also where a word of theirs is another."""

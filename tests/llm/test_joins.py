@@ -222,3 +222,14 @@ def test_hot_keys_are_salted(spark):
     right = spark.range(2000).selectExpr("id AS k", "id * 2 AS w")
     assert salted_lookup(left, right, "k").count() == 2000
     assert salted_lookup(left, right.where("k < 1900"), "k", "left").where("w IS NULL").count() == 100
+
+
+def test_search_repeats_and_ties(spark):
+    """A query that is given twice has ten different neighbours; equally near ones come by their ids."""
+    rows = [(100, [0.5, 0.5, 0.0])] * 2 + [(i, [1.0, float(i % 3), 0.0]) for i in range(1, 31)] + [(200, [0.0, 1.0, 0.0]), (200, [9.0, 9.0, 9.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = hamming.search(frame, frame.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")).collect()
+    own = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == 100)
+    score = lambda v: float(np.sqrt(((np.array(v) - np.array(rows[0][1])) ** 2).sum()))
+    assert own == [(k, i, s) for k, (s, i) in enumerate(sorted((score(v), i) for i, v in rows if i != 100)[:10], 1)]
+    assert sorted(r["rank"] for r in found if r.query_id == 200) == sorted([*range(1, 11)] * 2)
