@@ -1,4 +1,4 @@
-"""Settings of the engine, from defaults, a mapping, and environment variables, later ones winning."""
+"""Settings of the engine, from defaults, a YAML or JSON file, a mapping, and environment variables, later ones winning."""
 
 from __future__ import annotations
 
@@ -31,6 +31,9 @@ class EngineConfig:
     max_top_k: int = 100
     embedding_dim: int = 256
     embedding_provider: str = "hashing"
+    embedding_key: str = ""
+    embedding_base: str = ""
+    embedding_model: str = ""
     embedding_batch: int = 100
     requests_per_second: float = 0.0
     tokens_per_minute: int = 0
@@ -38,11 +41,11 @@ class EngineConfig:
     ignore_file: str = ".quarrylineignore"
 
     @classmethod
-    def load(cls, values: Mapping | None = None, env: Mapping[str, str] | None = None, prefix: str = "QUARRYLINE_") -> EngineConfig:
-        """Defaults, then values, then PREFIX + upper-case field names of the environment."""
+    def load(cls, values: Mapping | None = None, env: Mapping[str, str] | None = None, prefix: str = "QUARRYLINE_", file: str = "") -> EngineConfig:
+        """Defaults, then the file, then values, then PREFIX + upper-case field names of the environment."""
         out = cls()
         known = {f.name: f for f in fields(cls)}
-        for k, v in (values or {}).items():
+        for k, v in [*read_settings(file).items(), *(values or {}).items()]:
             if k in known and v is not None:
                 out = replace(out, **{k: _typed(v, getattr(out, k))})
         for k in known:
@@ -58,6 +61,33 @@ class EngineConfig:
         return self.default_top_k if not asked or asked <= 0 else min(asked, self.max_top_k)
 
 
+def read_settings(path: str) -> dict:
+    """Settings of a YAML file (JSON is YAML too); sections are flattened, as embedding: {dim: 8} gives embedding_dim. None without a path."""
+    if not path:
+        return {}
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        found = json.loads(text)
+    else:
+        found = yaml.safe_load(text)
+    out: dict = {}
+
+    def flatten(section: Mapping, start: str) -> None:
+        for k, v in section.items():
+            if isinstance(v, Mapping):
+                flatten(v, f"{start}{k}_")
+            else:
+                out[f"{start}{k}"] = v
+
+    flatten(found if isinstance(found, Mapping) else {}, "")
+    return out
+
+
 def _typed(value, like):
     return type(like)(value)
 

@@ -123,11 +123,18 @@ def python_nodes(raw: bytes) -> list[Node] | None:
         return None
     starts = [0, *accumulate(len(line) + 1 for line in raw.split(b"\n"))]
 
-    def node(x: ast.stmt) -> Node:
+    def first_of(x: ast.stmt) -> int:
         top = min([x, *getattr(x, "decorator_list", [])], key=lambda y: y.lineno)
-        first = starts[top.lineno - 1] + (top.col_offset if top is x else 0)
-        kind = "definition" if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else "other"
-        return kind, first, starts[x.end_lineno - 1] + x.end_col_offset, [node(c) for c in getattr(x, "body", [])] if kind == "definition" else []
+        # The sign of a decorator stands before its expression.
+        return starts[top.lineno - 1] + top.col_offset if top is x else raw.rfind(b"@", starts[top.lineno - 1], starts[top.lineno - 1] + top.col_offset)
+
+    def node(x: ast.stmt) -> Node:
+        first, last = first_of(x), starts[x.end_lineno - 1] + x.end_col_offset
+        if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            return "other", first, last, []
+        # What stands before the body is the first child; comments go with the statement before them.
+        spots = [first, *(first_of(c) for c in x.body), last]
+        return "definition", first, last, [("other", a, a + len(raw[a:b].rstrip()), []) for a, b in zip(spots, spots[1:], strict=False) if raw[a:b].strip()]
 
     return [node(x) for x in tree.body]
 
@@ -238,7 +245,8 @@ def chunk_lines(files: DataFrame, most: int, overlap: int) -> DataFrame:
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False):
-                for k, (body, first, last) in enumerate(split_lines(row.content.encode(), most, overlap)):
+                # Without content there is no chunk.
+                for k, (body, first, last) in enumerate(split_lines((row.content or "").encode(), most, overlap)):
                     rows.append((*[getattr(row, c) for c in keys], k, T.repair_bytes(body), first, last))
             yield pd.DataFrame(rows, columns=[*keys, "ordinal", "content", "start_line", "end_line"])
 

@@ -54,7 +54,8 @@ def dir_name(path: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # A run is only tried from its start, so inner ones are passed over in one step.
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def drop_reason(content: Column, min_bytes: int = 100) -> Column:

@@ -14,7 +14,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -139,9 +139,12 @@ class Service:
     requests_per_second: float = 0.0
     tokens_per_minute: float = 0.0
     post: Callable[[str, bytes, dict, float], bytes] | None = None
+    buckets: tuple[Bucket, Bucket] | None = field(default=None, init=False, repr=False)
 
     def embed(self, texts: list[str], task: str = DOCUMENT) -> list[list[float]]:
-        calls, tokens = Bucket(self.requests_per_second, max(1.0, self.requests_per_second)), Bucket(self.tokens_per_minute / 60, max(1.0, self.tokens_per_minute))
+        if self.buckets is None:  # One pair for all calls of this object, so that successive calls share the rate.
+            self.buckets = Bucket(self.requests_per_second, max(1.0, self.requests_per_second)), Bucket(self.tokens_per_minute / 60, max(1.0, self.tokens_per_minute))
+        calls, tokens = self.buckets
         headers = {"Content-Type": "application/json"} | ({self.key_header[0]: self.key_header[1].format(self.key)} if self.key else {})
         out: list[list[float]] = []
         for batch in batches_of(texts, self.batch, self.batch_tokens):
@@ -213,13 +216,15 @@ def provider(name: str, key: str = "", base: str = "", **options):
 
 
 def embed_table(rows: DataFrame, model, text: str = "content", task: str = DOCUMENT, at_once: int | None = None) -> DataFrame:
-    """rows with vector. at_once: tasks that run together, which share the provider's rate."""
+    """rows with vector. at_once: tasks that run together, which share a service's rate; those of the session by default."""
+    if at_once is None and isinstance(model, Service):
+        at_once = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", vector array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model
         if at_once and isinstance(model, Service):
-            own = Service(**{**model.__dict__, "requests_per_second": model.requests_per_second / at_once, "tokens_per_minute": model.tokens_per_minute / at_once})
+            own = replace(model, requests_per_second=model.requests_per_second / at_once, tokens_per_minute=model.tokens_per_minute / at_once)
         for frame in frames:
             vectors = own.embed(frame[text].tolist(), task) if len(frame) else []
             yield frame.assign(vector=pd.Series([np.asarray(v, np.float32) for v in vectors], index=frame.index, dtype=object))

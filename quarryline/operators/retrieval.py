@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions import tokens as K
 
+#: Queries that are broadcast, and parts of a collection's vectors beyond that.
+FEW_QUERIES, SALTS = 1000, 64
+
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(collection, chunk_id, token, tf) of chunks (collection, id, content)."""
@@ -31,7 +34,9 @@ def remove_postings(old: DataFrame, ids: DataFrame) -> DataFrame:
 
 def postings_stats(post: DataFrame) -> DataFrame:
     """Chunks, tokens and occurrences by collection."""
-    return post.groupBy("collection").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("token").alias("n_tokens"), F.sum("tf").alias("n_occurrences"))
+    tokens = post.groupBy("collection", "token").agg(F.sum("tf").alias("tf")).groupBy("collection").agg(F.count("*").alias("n_tokens"), F.sum("tf").alias("n_occurrences"))
+    chunks = post.select("collection", "chunk_id").distinct().groupBy("collection").agg(F.count("*").alias("n_chunks"))
+    return chunks.join(tokens, "collection").select("collection", "n_chunks", "n_tokens", "n_occurrences")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -44,6 +49,12 @@ def keyword_lookup(queries: DataFrame, post: DataFrame) -> DataFrame:
     return query_tokens(queries).join(post, ["collection", "token"]).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"))
 
 
+def pruned(post: DataFrame, queries: DataFrame, most: int = 500) -> DataFrame:
+    """post, with a filter on the tokens that reaches the scan where queries have at most `most` of them."""
+    wanted = query_tokens(queries).select("token").distinct().limit(most + 1).collect()
+    return post.where(F.col("token").isin([r.token for r in wanted])) if len(wanted) <= most else post
+
+
 def keyword_scan(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """As keyword_lookup, from chunks (collection, id, content) without postings: only tokens that some query has are counted and moved."""
     rows = K.token_rows(chunks.select("collection", F.col("id").alias("chunk_id"), "content"))
@@ -80,14 +91,39 @@ def ranked(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
 def vector_hits(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """(query_id, chunk_id, cos): the nearest chunks (collection, id, vector) of queries (query_id, collection, query_vector).
 
-    Queries meet the chunks of their collection only, by an equi-join; each query's norm is computed once.
+    Queries meet the chunks of their collection only, by an equi-join; each query's norm is computed once. Up to FEW_QUERIES queries go to
+    the vectors, which stay where they are; more of them are dealt to SALTS parts of each collection's vectors, so that no
+    collection is a single task.
     """
     q = queries.select("query_id", "collection", "query_vector", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))).alias("qn"))
     c = chunks.select("collection", F.col("id").alias("chunk_id"), "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("cn"))
     scale = F.col("qn") * F.col("cn")
     score = F.when(scale > 0, dot(F.col("query_vector"), F.col("vector")) / scale).otherwise(0.0)
-    scored = q.join(c, "collection").select("query_id", "chunk_id", score.alias("cos"))
-    return ranked(scored, limit, F.desc("cos"), "chunk_id").drop("rank")
+    if q.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        pairs = F.broadcast(q).join(c, "collection")
+    else:
+        dealt = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = dealt.join(c.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")), ["collection", "part"])
+    return ranked(pairs.select("query_id", "chunk_id", score.alias("cos")), limit, F.desc("cos"), "chunk_id").drop("rank")
+
+
+def fitted_centres(chunks: DataFrame, cells: int = 128, sample: int = 20_000, rounds: int = 8) -> list[list[float]]:
+    """Centres of an inverted file by spherical k-means, on the `sample` vectors of smallest hash of chunks (vector)."""
+    import numpy as np
+
+    rows = chunks.select("vector").where(F.col("vector").isNotNull()).orderBy(F.xxhash64("vector"), "vector").limit(sample).toPandas()["vector"]
+    if rows.empty:
+        return []
+    x = np.stack(rows.to_numpy()).astype(float)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    return centres.tolist()
 
 
 def clustered_hits(queries: DataFrame, chunks: DataFrame, limit: int, centres: list[list[float]], probes: int = 16) -> DataFrame:
@@ -135,8 +171,8 @@ def hybrid_of(queries: DataFrame, chunks: DataFrame, hits: DataFrame, found: Dat
     """The ranking of hybrid() from vector hits (query_id, chunk_id, cos) and keyword matches (query_id, chunk_id, tf)."""
     both = hits.join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", boosted(F.col("cos"), F.col("tf"), config).alias("score"))
     pool = both.unionByName(keyword_only(found, hits, config).select("query_id", "chunk_id", "score"))
-    scope = queries.select("query_id", "collection")
+    # What is found in postings or vectors is stored as a chunk, so the ranking needs no chunk.
+    best = ranked(pool, top_k, F.desc("score"), "chunk_id").join(queries.select("query_id", "collection"), "query_id")
     known = chunks.select("collection", F.col("id").alias("chunk_id"), "relative_path", "start_line", "end_line", "language", "content")
-    stored = pool.join(scope, "query_id").join(known, ["collection", "chunk_id"])
-    best = ranked(stored, top_k, F.desc("score"), "chunk_id")
-    return best.select("query_id", "rank", "chunk_id", "score", "relative_path", "start_line", "end_line", "language", "content")
+    rows = best.join(known, ["collection", "chunk_id"])
+    return rows.select("query_id", "rank", "chunk_id", "score", "relative_path", "start_line", "end_line", "language", "content")

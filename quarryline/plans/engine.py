@@ -9,11 +9,13 @@ from .. import model
 from ..config import EngineConfig
 from ..functions import chunking, formatting
 from ..functions import text as T
-from ..operators import diff, embedding, retrieval, views
+from ..operators import batching, diff, embedding, retrieval, views
 from ..sources import stores, tree
 from .store import Store
 
-CHUNKS, REGISTRY, MANIFEST = "chunks", "registry", "manifest"
+CHUNKS, POSTINGS, REGISTRY, MANIFEST = "chunks", "postings", "registry", "manifest"
+#: Packed batches that one upsert of a sync takes.
+SYNC_BATCHES = 200
 KEPT = ("chunk_hash", "content", "relative_path", "start_line", "end_line", "language")
 
 
@@ -22,8 +24,17 @@ class Engine:
 
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None, provider=None, refresh_lines: bool = False):
         self.spark, self.config, self.refresh_lines = spark, config or EngineConfig(), refresh_lines
-        self.provider = provider or embedding.Hashing(self.config.embedding_dim)
+        self.provider = provider or self._configured()
         self.store = Store(spark, self.config.index_root)
+        self.counters: dict[str, int] = {}
+
+    def _configured(self):
+        """The provider that the settings name; settings that are 0 or empty leave its own defaults."""
+        c = self.config
+        if c.embedding_provider == "hashing":
+            return embedding.Hashing(c.embedding_dim)
+        options = {"model": c.embedding_model, "dim": c.embedding_dim, "requests_per_second": c.requests_per_second, "tokens_per_minute": float(c.tokens_per_minute)}
+        return embedding.provider(c.embedding_provider, c.embedding_key, c.embedding_base, **{k: v for k, v in options.items() if v})
 
     def collection(self, codebase_id: str) -> str:
         if not codebase_id:
@@ -36,9 +47,10 @@ class Engine:
     def split(self, files: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
         """(chunks worth keeping, one per file and hash; all chunks with drop_reason) of files (relative_path, content).
 
-        Of files that share a path only the last by content order stays.
+        Of files that share a path the last in the order of the rows stays.
         """
-        files = files.where("relative_path <> ''").groupBy("relative_path").agg(F.max("content").alias("content"))
+        files = files.where("relative_path <> ''").withColumn("_n", F.monotonically_increasing_id())
+        files = files.groupBy("relative_path").agg(F.max_by("content", "_n").alias("content"))
         cut = chunking.chunk_files(files, self.config)
         cut = cut.withColumn("content", T.truncated(F.col("content"), self.config.max_content_bytes))
         judged = cut.withColumn("drop_reason", T.drop_reason(F.col("content"), self.config.min_chunk_bytes)).withColumn("collection", F.lit(collection))
@@ -46,14 +58,23 @@ class Engine:
         return diff.last_of_equals(kept).withColumn("id", T.chunk_id(F.col("relative_path"), F.col("chunk_hash"))), judged
 
     def upsert(self, codebase_id: str, files: DataFrame) -> dict[str, int]:
-        """Brings the index in line with the pushed files (relative_path, content) and publishes; only new chunks are embedded."""
+        """Brings the index in line with the pushed files (relative_path, content) and publishes; only new chunks are embedded.
+
+        Counts of files and chunks come back; counters has those of the last upsert besides: the chunks there were (chunks_existing), those
+        that were cut (chunks_split) and those left out by reason (dropped_...).
+        """
         collection = self.collection(codebase_id)
         if files.isEmpty():
             raise ValueError("files are needed")
+        with self.store.writing(collection):
+            return self._upsert(collection, codebase_id, files)
+
+    def _upsert(self, collection: str, codebase_id: str, files: DataFrame) -> dict[str, int]:
         self._register(collection, codebase_id)
         pushed = files.where("relative_path <> ''").select(F.lit(collection).alias("collection"), "relative_path")
         old = self.store.read(CHUNKS, collection, model.STORED)
-        new, _ = self.split(files, collection)
+        new, judged = self.split(files, collection)
+        reasons = {r.drop_reason: r["count"] for r in judged.groupBy("drop_reason").count().collect()}
         # The split chunks are read three times, by the diff, the embedding and the result: store them once.
         staged = self.store.stage("staging", collection, new.select("collection", "id", "ordinal", *KEPT))
         path = f"{self.store._path('staging', collection)}/{staged}"
@@ -67,20 +88,36 @@ class Engine:
             lines = new.select(*diff.CHUNK_KEY, F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
             stay = stay.join(lines, diff.CHUNK_KEY, "left").withColumn("start_line", F.coalesce("_a", "start_line")).withColumn("end_line", F.coalesce("_b", "end_line"))
         columns = ["collection", "id", *KEPT, "vector"]
-        self.store.write(CHUNKS, collection, stay.select(*columns).unionByName(fresh.select(*columns)))
+        self._publish(collection, stay.select(*columns).unionByName(fresh.select(*columns)), fresh_ids=new.join(changes.where("status = 'inserted'"), diff.CHUNK_KEY, "left_semi"), gone=old.join(changes.where("status = 'deleted'"), diff.CHUNK_KEY, "left_semi"))
         self.store.drop("staging", collection)
+        self.counters = {"chunks_existing": old.count(), "chunks_split": sum(reasons.values())} | {f"dropped_{k}": n for k, n in reasons.items() if k}
         return {k: int(v) for k, v in stats.items()}
 
+    def _publish(self, collection: str, chunks: DataFrame, fresh_ids: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Writes the chunks and, for what changed, the postings, and publishes both, postings first.
+
+        Postings are sorted by token, so a search reads the row groups of its tokens.
+        """
+        staged = self.store.stage(CHUNKS, collection, chunks)
+        post = self.store.read(POSTINGS, collection, model.POSTING)
+        if gone is not None:
+            post = retrieval.remove_postings(post, gone.select("collection", F.col("id").alias("chunk_id")))
+        if fresh_ids is not None:
+            post = retrieval.replace_postings(post, fresh_ids.select("collection", "id", "content"))
+        self.store.write(POSTINGS, collection, post.repartitionByRange("token").sortWithinPartitions("token"))
+        self.store.publish(CHUNKS, collection, staged)
+
     def delete_files(self, codebase_id: str, paths: list[str] | DataFrame) -> int:
         """Deletes all chunks of the paths; how many there were."""
         collection = self.collection(codebase_id)
         if isinstance(paths, list):
             paths = self.spark.createDataFrame([(p,) for p in paths], "relative_path string")
-        old = self.store.read(CHUNKS, collection, model.STORED)
-        stay, go = diff.delete_files(old, paths.select(F.lit(collection).alias("collection"), "relative_path"))
-        gone = go.count()
-        if gone:
-            self.store.write(CHUNKS, collection, stay)
+        with self.store.writing(collection):
+            old = self.store.read(CHUNKS, collection, model.STORED)
+            stay, go = diff.delete_files(old, paths.select(F.lit(collection).alias("collection"), "relative_path"))
+            gone = go.count()
+            if gone:
+                self._publish(collection, stay, gone=go)
         return gone
 
     def search(self, codebase_id: str, query: str, top_k: int | None = None) -> DataFrame:
@@ -93,13 +130,18 @@ class Engine:
         self._register(collection, codebase_id)
         vector = [float(x) for x in self.provider.embed([query], embedding.QUERY)[0]]
         queries = self.spark.createDataFrame([(0, collection, query, vector)], "query_id bigint, collection string, query string, query_vector array<float>")
-        return self.search_many(queries, self.chunks(codebase_id), top_k).select("rank", "content", "relative_path", "start_line", "end_line", "language", "score").orderBy("rank")
+        found = self.search_many(queries, self.chunks(codebase_id), top_k, self.postings(codebase_id))
+        return found.select("rank", "content", "relative_path", "start_line", "end_line", "language", "score").orderBy("rank")
+
+    def postings(self, codebase_id: str) -> DataFrame:
+        return self.store.read(POSTINGS, self.collection(codebase_id), model.POSTING)
 
-    def search_many(self, queries: DataFrame, chunks: DataFrame, top_k: int | None = None) -> DataFrame:
-        """The hybrid ranking of queries (query_id, collection, query, query_vector) over chunks."""
+    def search_many(self, queries: DataFrame, chunks: DataFrame, top_k: int | None = None, post: DataFrame | None = None) -> DataFrame:
+        """The hybrid ranking of queries (query_id, collection, query, query_vector) over chunks and their postings; without those contents are scanned."""
         k = self.config.top_k(top_k)
         hits = retrieval.vector_hits(queries, chunks, self.config.recall(k))
-        return retrieval.hybrid_of(queries, chunks, hits, retrieval.keyword_scan(queries, chunks), k, self.config)
+        found = retrieval.keyword_scan(queries, chunks) if post is None else retrieval.keyword_lookup(queries, retrieval.pruned(post, queries))
+        return retrieval.hybrid_of(queries, chunks, hits, found, k, self.config)
 
     def search_text(self, codebase_id: str, query: str, top_k: int | None = None) -> str:
         return formatting.result_text(self.search(codebase_id, query, top_k)).first().text
@@ -107,8 +149,9 @@ class Engine:
     def clear(self, codebase_id: str) -> None:
         """Drops a codebase's index and its registration; nothing where there is none."""
         collection = self.collection(codebase_id)
-        for name in (CHUNKS, MANIFEST, REGISTRY):
-            self.store.drop(name, collection)
+        with self.store.writing(collection):
+            for name in (CHUNKS, POSTINGS, MANIFEST, REGISTRY):
+                self.store.drop(name, collection)
 
     def _register(self, collection: str, codebase_id: str) -> None:
         if self.store.current(REGISTRY, collection) is None:
@@ -130,27 +173,65 @@ class Engine:
     def sync(self, root: str, codebase_id: str | None = None, **options) -> dict:
         """Scans a tree, compares it with the last manifest, pushes what changed and deletes what is gone.
 
-        Content is read only of files whose size or time differ; binary and broken files are counted but not pushed.
+        Content is read once, and only of files whose size or time differ; binary and broken files are counted but not pushed. Changed files
+        go in batches of batch_files and batch_bytes; the manifest is written after each, so a sync that is cut short goes on
+        where it was, and a batch that fails is told in failed, unless most fail.
         """
         codebase_id = codebase_id or stores.derived_id(root)
         collection = self.collection(codebase_id)
+        with self.store.writing(collection):
+            return self._sync(root, codebase_id, collection, **options)
+
+    def _sync(self, root: str, codebase_id: str, collection: str, **options) -> dict:
+        options = {"maxBytes": self.config.max_file_bytes, "ignoreFiles": [".gitignore", self.config.ignore_file]} | options
         seen = tree.scan_tree(self.spark, root, content=False, **options).select(F.lit(codebase_id).alias("codebase_id"), "relative_path", "size", "mtime_ns")
         manifest = self.store.read(MANIFEST, collection, model.MANIFEST)
         look = diff.suspects(seen, manifest)
         read = tree.scan_tree(self.spark, root, content=True, **options).join(look.select("relative_path"), "relative_path", "left_semi")
+        # One read serves the hash, the push and the manifest, so a file that changes meanwhile can't mix two states.
+        read = self._staged("staging-read", collection, read.select("relative_path", "size", "mtime_ns", "content"))
+        seen = seen.join(read.select("relative_path", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time")), "relative_path", "left")
+        seen = seen.select("codebase_id", "relative_path", F.coalesce("_size", "size").alias("size"), F.coalesce("_time", "mtime_ns").alias("mtime_ns"))
         hashed = read.select("relative_path", F.sha2("content", 256).alias("sha256"))
         scan = seen.join(hashed, "relative_path", "left")
-        staged = f"{self.store._path('staging-diff', collection)}/{self.store.stage('staging-diff', collection, diff.file_diff(scan, manifest))}"
-        changes = self.spark.read.parquet(staged)
+        changes = self._staged("staging-diff", collection, diff.file_diff(scan, manifest))
         report = {r.status: r.n_files for r in diff.diff_report(changes).collect()}
-        removed = [r.relative_path for r in changes.where("status = 'removed'").select("relative_path").toLocalIterator()]
-        deleted = self.delete_files(codebase_id, removed) if removed else 0
+        removed = changes.where("status = 'removed'").select("relative_path")
+        deleted = self.delete_files(codebase_id, removed) if "removed" in report else 0
         plain = ~T.looks_binary(F.col("content")) & F.is_valid_utf8(F.col("content").cast("string"))
         push = read.join(changes.where("status in ('added', 'modified')").select("relative_path"), "relative_path", "left_semi").where(plain)
         push = push.select("relative_path", F.col("content").cast("string").alias("content"))
-        stats = self.upsert(codebase_id, push) if not push.isEmpty() else {}
-        pushed = push.select("relative_path").withColumn("_pushed", F.lit(True))
-        after = diff.next_manifest(changes.join(pushed, "relative_path", "left").where("status not in ('added', 'modified') or _pushed").drop("_pushed"))
-        self.store.write(MANIFEST, collection, after.select("codebase_id", "relative_path", "sha256", "size", "mtime_ns"))
-        self.store.drop("staging-diff", collection)
-        return {"report": report, "chunks_deleted": deleted, "upsert": stats}
+        sizes = push.select(F.lit(codebase_id).alias("codebase_id"), "relative_path", F.octet_length("content").cast("long").alias("size"))
+        packed = self._staged("staging-batches", collection, batching.pack_files(sizes, self.config.batch_bytes, self.config.batch_files))
+        last = packed.agg(F.max("batch")).first()[0]
+        stay = changes.where("status not in ('added', 'modified')")
+        before = manifest.join(changes.where("status in ('modified')").select("relative_path"), "relative_path", "left_semi")
+        columns = ("codebase_id", "relative_path", "sha256", "size", "mtime_ns")
+        base = diff.next_manifest(stay).select(*columns)
+        # A batch takes SYNC_BATCHES packed ones, so that an upsert has enough to do for all tasks.
+        stats, failed, total = [], [], 0
+        done = packed.limit(0).select("relative_path")
+        for first in range(0, (last + 1) if last is not None else 0, SYNC_BATCHES):
+            own = packed.where(F.col("batch").between(first, first + SYNC_BATCHES - 1)).select("relative_path")
+            total += 1
+            try:
+                stats.append(self.upsert(codebase_id, push.join(own, "relative_path", "left_semi")))
+            except Exception as error:
+                failed.append((total, str(error)[:500]))
+                continue
+            done = done.union(own)
+            open_ = before.join(done, "relative_path", "left_anti")
+            now = changes.join(done, "relative_path", "left_semi")
+            self.store.write(MANIFEST, collection, base.unionByName(now.select(*columns)).unionByName(open_.select(*columns)))
+        if not stats:
+            self.store.write(MANIFEST, collection, base.unionByName(before.select(*columns)))
+        for name in ("staging-diff", "staging-read", "staging-batches"):
+            self.store.drop(name, collection)
+        if diff.too_many_failed(len(failed), total):
+            raise RuntimeError(f"{len(failed)} of {total} batches failed: {failed[:3]}")
+        summed = {k: sum(one[k] for one in stats) for k in (stats[0] if stats else ())}
+        return {"report": report, "chunks_deleted": deleted, "upsert": summed, "failed": failed[:3]}
+
+    def _staged(self, name: str, collection: str, rows: DataFrame) -> DataFrame:
+        """rows, written once and read back."""
+        return self.spark.read.schema(rows.schema).parquet(f"{self.store._path(name, collection)}/{self.store.stage(name, collection, rows)}")

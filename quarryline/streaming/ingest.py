@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from .. import model
+from ..operators.diff import too_many_failed
 from ..plans.engine import Engine
 
 
@@ -36,17 +37,22 @@ def apply_changes(engine: Engine, changes: DataFrame) -> list[dict]:
                 failed.append({"codebase_id": row.codebase_id, "error": str(error)[:500]})
     finally:
         final.unpersist()
-    if len(failed) * 2 > total:
+    if too_many_failed(len(failed), total):
         raise RuntimeError(f"{len(failed)} of {total} codebases failed: {failed[:3]}")
     return failed
 
 
 def ingest(engine: Engine, changes: DataFrame, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
-    """Starts the stream. Ids depend on content alone, so a batch that runs again after a fault changes nothing."""
+    """Starts the stream. Ids depend on content alone, so a batch that runs again after a fault changes nothing.
+
+    Changes of codebases that failed go to the folder quarantine; without one the batch fails and is run again.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
         failed = apply_changes(engine, frame)
-        if failed and quarantine:
+        if failed and not quarantine:
+            raise RuntimeError(f"{len(failed)} codebases failed: {failed[:3]}")
+        if failed:
             ids = [f["codebase_id"] for f in failed]
             frame.where(F.col("codebase_id").isin(ids)).withColumn("batch", F.lit(number)).write.mode("append").json(quarantine)
 

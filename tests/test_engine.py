@@ -152,3 +152,125 @@ def test_small_operators(spark):
     sums = diff.sum_results(spark.createDataFrame([(1, 2, 3, 4, 5), (1, 1, 1, 1, 1)], "files_processed int, chunks_processed int, chunks_new_embedded int, chunks_reused int, chunks_deleted int"))
     assert tuple(sums.first()) == (2, 3, 4, 5, 6)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_counters_and_stored_postings(spark, engine):
+    files = [("a.go", "func createOrder() { return 1 }"), ("b.py", "# only a comment here"), ("c.py", "total = createOrder(3)\n")]
+    engine.upsert("cb", spark.createDataFrame(files, FILE))
+    assert engine.counters == {"chunks_existing": 0, "chunks_split": 3, "dropped_comments": 1}
+
+    def same():
+        kept = sorted(map(tuple, engine.postings("cb").select("chunk_id", "token", "tf").collect()))
+        assert kept == sorted(map(tuple, retrieval.postings(engine.chunks("cb")).select("chunk_id", "token", "tf").collect())) and kept
+
+    same()
+    engine.upsert("cb", spark.createDataFrame([("c.py", "other = createOrder(4)\n")], FILE))
+    assert engine.counters["chunks_existing"] == 2
+    same()
+    engine.delete_files("cb", ["a.go"])
+    same()
+    plan = engine.search("cb", "other createOrder")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "In(token" in plan
+    assert engine.search("cb", "other createOrder").first().relative_path == "c.py"
+
+
+def test_readers_keep_their_generation(spark, engine):
+    engine.upsert("cb", spark.createDataFrame([("a.go", "func createOrder() { return 1 }")], FILE))
+    before = engine.search("cb", "createOrder")
+    engine.upsert("cb", spark.createDataFrame([("a.go", "func dropOrder() { return 2 }")], FILE))
+    assert "createOrder" in before.first().content
+    assert "dropOrder" in engine.search("cb", "dropOrder").first().content
+
+
+def test_writers_wait_for_each_other(spark, engine):
+    with engine.store.writing("x"):
+        other = Engine(spark, engine.config)
+        with pytest.raises(TimeoutError), other.store.writing("x", wait=0.3):
+            pass
+        with engine.store.writing("x"):
+            pass
+    with other.store.writing("x", wait=0.3):
+        pass
+
+
+def test_the_last_pushed_file_wins(spark, engine):
+    files = [("a.py", "zeta_value = 1111"), ("b.py", "other_value = 1"), ("a.py", "alpha_value = 2222")]
+    engine.upsert("cb", spark.createDataFrame(files, FILE).coalesce(1))
+    assert {r.content for r in engine.chunks("cb").collect()} == {"alpha_value = 2222", "other_value = 1"}
+
+
+def test_sync_goes_on_after_a_failed_batch(spark, tmp_path, monkeypatch):
+    """What a batch pushed is remembered, what failed is pushed next time."""
+    from quarryline.plans import engine as engines
+
+    monkeypatch.setattr(engines, "SYNC_BATCHES", 1)
+    engine = Engine(spark, EngineConfig(index_root=str(tmp_path / "index"), min_chunk_bytes=5, batch_files=2))
+    root = tmp_path / "src"
+    root.mkdir()
+    for i in range(5):
+        (root / f"f{i}.py").write_text(f"value_{i} = compute({i})\n")
+    upsert, calls = engine.upsert, []
+
+    def sometimes(codebase, files):
+        calls.append(sorted(r.relative_path for r in files.collect()))
+        if len(calls) == 2:
+            raise RuntimeError("no")
+        return upsert(codebase, files)
+
+    monkeypatch.setattr(engine, "upsert", sometimes)
+    first = engine.sync(str(root), "t")
+    assert calls == [["f0.py", "f1.py"], ["f2.py", "f3.py"], ["f4.py"]]
+    assert first["upsert"]["files_processed"] == 3 and first["failed"] == [(2, "no")]
+    second = engine.sync(str(root), "t")
+    assert calls[3:] == [["f2.py", "f3.py"]] and second["report"] == {"added": 2, "unchanged": 3}
+    assert engine.chunks("t").count() == 5
+
+
+def test_failed_changes_do_not_vanish(spark, engine, tmp_path, monkeypatch):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    rows = [{"seq": i, "op": "upsert", "codebase_id": c, "relative_path": "f.py", "content": f"value_{c} = compute({i})\n"} for i, c in enumerate("abc")]
+    (feed / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    upsert = engine.upsert
+    monkeypatch.setattr(engine, "upsert", lambda c, f: 1 / 0 if c == "b" else upsert(c, f))
+    query = ingest.ingest(engine, ingest.read_changes(spark, str(feed)), str(tmp_path / "c1"))
+    with pytest.raises(Exception, match="codebases failed"):
+        query.awaitTermination()
+    query = ingest.ingest(engine, ingest.read_changes(spark, str(feed)), str(tmp_path / "c2"), str(tmp_path / "aside"))
+    query.awaitTermination()
+    assert [r.codebase_id for r in spark.read.json(str(tmp_path / "aside")).collect()] == ["b"]
+
+
+def test_fitted_centres(spark):
+    chunks = spark.createDataFrame([("x", f"c{i}", [1.0, float(i % 7), float(i % 4)]) for i in range(80)], "collection string, id string, vector array<float>")
+    queries = spark.createDataFrame([(0, "x", [1.0, 3.0, 2.0])], "query_id int, collection string, query_vector array<float>")
+    centres = retrieval.fitted_centres(chunks, 12)
+    assert len(centres) == 12 and retrieval.fitted_centres(chunks.limit(0)) == []
+    exact = {r.chunk_id for r in retrieval.vector_hits(queries, chunks, 10).collect()}
+    assert len(exact & {r.chunk_id for r in retrieval.clustered_hits(queries, chunks, 10, centres, 6).collect()}) >= 9
+
+
+def test_many_queries_are_dealt_alike(spark, monkeypatch):
+    chunks = spark.createDataFrame([("x", f"c{i}", [1.0, float(i % 7), float(i % 4)]) for i in range(80)], "collection string, id string, vector array<float>")
+    queries = spark.createDataFrame([(k, "x", [1.0, float(k), 2.0]) for k in range(4)], "query_id int, collection string, query_vector array<float>")
+    few = sorted(map(tuple, retrieval.vector_hits(queries, chunks, 5).collect()))
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 2)
+    assert few == sorted(map(tuple, retrieval.vector_hits(queries, chunks, 5).collect())) and len(few) == 20
+
+
+def test_a_task_shares_one_rate():
+    slept = []
+    service = embedding.provider("openai", key="k", dim=1, requests_per_second=2.0, post=lambda u, body, h, t: json.dumps({"data": [{"index": 0, "embedding": [1.0]}]}).encode())
+    service.embed(["a"])
+    service.buckets[0].sleep, service.buckets[0].clock = slept.append, lambda: service.buckets[0].last
+    service.embed(["a"])
+    service.embed(["a"])
+    assert slept and sum(slept) >= 0.4
+
+
+def test_settings_name_the_provider(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("index_root: /x\nembedding:\n  provider: openai\n  key: k\n  dim: 8\ntokens_per_minute: 600\n")
+    config = EngineConfig.load({"index_root": str(tmp_path)}, {}, file=str(tmp_path / "s.yaml"))
+    assert (config.index_root, config.embedding_provider, config.embedding_dim) == (str(tmp_path), "openai", 8)
+    service = Engine(spark, config).provider
+    assert (service.name, service.dim, service.tokens_per_minute) == ("openai", 8, 600.0)

@@ -83,6 +83,37 @@ def test_merge_and_structure():
     assert all(len(raw) <= 401 for raw, _, _ in chunking.split_source(large.encode(), "a.py", config))
 
 
+def test_large_definitions_keep_every_line():
+    """Headers, decorators and comments of large Python definitions are in their chunks."""
+    rng, config = random.Random(12), EngineConfig(max_chunk_bytes=300, overlap_bytes=0)
+    for _ in range(40):
+        out = []
+        for c in range(3):
+            out += ["@registered(name='x',", f"            kind={c})"] if rng.random() < 0.5 else []
+            out.append(f"class Big{c}(Base):" if rng.random() < 0.5 else f"async def giant_{c}(x, y={{1: 2}}):")
+            out += ['    """Says what it is."""'] if rng.random() < 0.5 else []
+            for m in range(rng.randint(3, 15)):
+                out += [f"    # note {c} {m}"] if rng.random() < 0.4 else []
+                out += ["    @staticmethod"] if rng.random() < 0.3 else []
+                out += [f"    def m{m}(self):", f"        return '{'é' * rng.randrange(60)}{m}'", ""]
+        source = "\n".join(out)
+        whole = b"\n".join(raw for raw, _, _ in chunking.split_source(source.encode(), "a.py", EngineConfig(max_chunk_bytes=300, overlap_bytes=0, whole_file_bytes=10)))
+        held = whole.decode()
+        assert all(line.strip() in held for line in out if line.strip()), source
+    assert config.max_chunk_bytes == 300
+
+
+def test_null_content_has_no_chunk(spark):
+    rows = spark.createDataFrame([("a.py", None), ("b.py", "x = 1")], "relative_path string, content string")
+    assert [r.relative_path for r in chunking.chunk_lines(rows, 10, 0).collect()] == ["b.py"]
+    assert [r.relative_path for r in chunking.chunk_files(rows).collect()] == ["b.py"]
+
+
+def test_trimming_long_runs(spark):
+    rows = spark.createDataFrame([("a" + " " * 200_000 + "b \u00a0\n",), (" \u2003 x",), (" ",)], "t string").select(text.trimmed(F.col("t")).alias("t")).collect()
+    assert [len(r.t) for r in rows] == [200_002, 1, 0]
+
+
 IGNORED = [
     ("node_modules", "a/node_modules/x.js", True), ("docs/legacy", "src/docs/legacy/a.md", True), ("/docs", "docs/a.md", True), ("/docs", "src/docs/a.md", False),
     ("**/__generated__/", "a/b/__generated__/x.ts", True), ("*.min.js", "web/a.min.js", True), ("testdata/", "x/testdata/y.go", True), ("!keep.md", "keep.md", False),
