@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text handled at once.
-CHARS = 8_000_000
+CHARS = 3_000_000
 #: A longer run of letters is cut into words of this length.
 LONGEST = 64
 

@@ -31,7 +31,7 @@ SCALE = 3.5
 #: Log probability of a character that is no piece, and what every piece's count gets more.
 UNKNOWN, MORE = -12.0, 0.05
 #: Words whose segmentations are summed at once, and words whose results a task keeps.
-AT_ONCE, CACHE = 20_000, 400_000
+AT_ONCE, CACHE = 10_000, 400_000
 BASE = np.uint64(1_099_511_628_211)
 
 
