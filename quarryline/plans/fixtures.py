@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,7 +90,7 @@ def many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.concat(F.lit("cb-"), (F.col("user_id") % 5).cast("string")).alias("codebase_id"),
         F.concat("event_type", F.lit(" "), (F.col("user_id") % 3).cast("string")).alias("query"),
@@ -98,6 +98,28 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in the guise of code: imports alone, comments alone, short, both, and prose, by the number of the document."""
+    line = F.concat(F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")), F.lit(" "), F.repeat(F.lit("z"), F.lit(40)))
+    kind = F.col("doc_id") % 6
+    content = (
+        F.when(kind == 0, F.concat(F.lit("import "), line, F.lit("\n\nfrom a import "), line, F.lit("\nuse b::c;\n(\n")))
+        .when(kind == 1, F.concat(F.lit("# "), line, F.lit("\n  // "), line, F.lit("\n/* a */\n* b\n")))
+        .when(kind == 2, F.concat(F.lit("import x\n# "), F.left("source", F.lit(20))))
+        .when(kind == 3, F.concat(F.lit("# "), line, F.lit("\nimport "), line))
+        .when(kind == 4, F.concat(F.lit("package "), line, F.lit("\nimport "), line))
+        .otherwise(F.col("text"))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+
+
+def camel(text: Column) -> Column:
+    """A text with some words joined as in camel case."""
+    for c in "taeds":
+        text = F.replace(text, F.lit(f" {c}"), F.lit(c.upper()))
+    return text
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collections of two thirds of the codebases."""
     ids = files(spark, sf_dir).select("codebase_id").distinct().where("length(codebase_id) > 4")

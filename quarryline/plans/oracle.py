@@ -118,6 +118,25 @@ reasons AS (
     WHEN len(code) > 0 AND len(list_filter(code, lambda x: NOT {_IMPORT})) = 0 THEN 'imports'
     WHEN len(lines) > 0 AND len(list_filter(lines, lambda x: NOT {_COMMENT})) = 0 THEN 'comments' ELSE 'keep' END AS reason
   FROM coded)"""
+_JUDGED = _REASONS[_REASONS.index("lined AS") :].replace("doc_id, piece,", "doc_id,").replace("strlen(body) < 60", "strlen(body) < 100")
+_ONE_LINE = "replace(left(text, 60), chr(10), ' ') || ' ' || repeat('z', 40)"
+_CODE = f"""code AS (SELECT doc_id, CASE doc_id % 6
+  WHEN 0 THEN 'import ' || {_ONE_LINE} || chr(10) || chr(10) || 'from a import ' || {_ONE_LINE} || chr(10) || 'use b::c;' || chr(10) || '(' || chr(10)
+  WHEN 1 THEN '# ' || {_ONE_LINE} || chr(10) || '  // ' || {_ONE_LINE} || chr(10) || '/* a */' || chr(10) || '* b' || chr(10)
+  WHEN 2 THEN 'import x' || chr(10) || '# ' || left(source, 20) WHEN 3 THEN '# ' || {_ONE_LINE} || chr(10) || 'import ' || {_ONE_LINE}
+  WHEN 4 THEN 'package ' || {_ONE_LINE} || chr(10) || 'import ' || {_ONE_LINE} ELSE text END AS content FROM documents)"""
+_BINARY = "CASE doc_id % 4 WHEN 0 THEN left(text, 10) || chr(0) || text WHEN 1 THEN repeat('x', 8191) || chr(0) || text WHEN 2 THEN repeat('x', 8192) || chr(0) || text ELSE text END"
+_CAMEL = "camel AS (SELECT doc_id, replace(replace(replace(replace(replace(text, ' t', 'T'), ' a', 'A'), ' e', 'E'), ' d', 'D'), ' s', 'S') AS content FROM documents)"
+_MERGED = """
+parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, strlen(unnest(l)) AS len, CAST(generate_subscripts(l, 1) AS BIGINT) AS rn FROM parts),
+p AS (
+  SELECT doc_id, rn, len, len AS size, CAST(0 AS BIGINT) AS part FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.doc_id, r.rn, r.len, CASE WHEN p.size < 1000 AND p.size + r.len <= 4000 THEN p.size + 1 + r.len ELSE r.len END,
+         p.part + CASE WHEN p.size < 1000 AND p.size + r.len <= 4000 THEN 0 ELSE 1 END
+  FROM p JOIN r ON r.doc_id = p.doc_id AND r.rn = p.rn + 1)"""
+_CUT = lambda x, n: f"left({x}, list_max(list_transform(range(0, {n + 1}), lambda k: CASE WHEN strlen(left({x}, k)) <= {n} THEN k ELSE 0 END)))"
 _CHUNK_DIFF = """
 chunk_diff AS (
   SELECT coalesce(n.relative_path, o.relative_path) AS relative_path, coalesce(n.chunk_hash, o.chunk_hash) AS chunk_hash,
@@ -136,7 +155,7 @@ remembered AS (SELECT DISTINCT codebase_id AS remembered_id, {_COLLECTION} AS co
 resolved AS (
   SELECT collection, coalesce(nullif(codebase_id, ''), remembered_id, '') AS id, coalesce(nullif(codebase_id, ''), remembered_id) IS NOT NULL AS named, num_chunks
   FROM indexes LEFT JOIN remembered USING (collection))"""
-LOG = "query_log AS (SELECT 'cb-' || (user_id % 5) AS codebase_id, event_type || ' ' || (user_id % 3) AS query, ts FROM events WHERE event_id % 4 = 0)"
+LOG = "query_log AS (SELECT 'cb-' || (user_id % 5) AS codebase_id, event_type || ' ' || (user_id % 3) AS query, ts FROM events)"
 _DISPLAY = " ".join(f"WHEN '{k}' THEN '{n}'" for k, (n, _) in DISPLAY.items()), " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in DISPLAY.items())
 
 
@@ -190,7 +209,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "copy_all": _with(ranking(ONE, 5), select="SELECT string_agg('// ' || relative_path || ':' || start_line || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS text FROM ranked"),
     "result_json": _with(ranking(ONE, 5), select="SELECT rank, CAST(to_json({'relative_path': relative_path, 'start_line': start_line, 'end_line': end_line, 'language': language}) AS VARCHAR) AS json FROM ranked"),
-    "result_preview": "SELECT doc_id, left(replace(text, chr(10), ' ⏎ '), 40) AS preview, strlen(text) <= 160 AS short FROM documents",
+    "result_preview": f"WITH l AS (SELECT doc_id, text, replace(text, chr(10), ' ⏎ ') AS line FROM documents) SELECT doc_id, CASE WHEN strlen(line) <= 160 THEN line ELSE {_CUT('line', 160)} || '...' END AS preview, strlen(text) <= 160 AS short FROM l",
+    "content_truncate": f"SELECT doc_id, sha256(CASE WHEN strlen(text) <= 100 THEN text ELSE {_CUT('text', 100)} || CASE WHEN strlen({_CUT('text', 100)}) < 100 THEN '�' ELSE '' END END) AS sha256 FROM documents",
+    "binary_sniff": f"WITH b AS (SELECT doc_id, {_BINARY} AS content FROM documents) SELECT doc_id, contains(content, chr(0)) AND strlen(split_part(content, chr(0), 1)) < 8192 AS looks_binary FROM b",
+    "tokens_camel": _with(_CAMEL, tokens_of("camel", "doc_id", "content"), select="SELECT doc_id, token, count(*) AS tf FROM camel_tokens GROUP BY ALL"),
+    "drop_reason_code": _with(_CODE, f"bodies AS (SELECT doc_id, {_TRIM('content')} AS body FROM code)", _JUDGED, select="SELECT doc_id, reason FROM reasons"),
+    "merge_small_chunks": _with(_MERGED, select="SELECT doc_id, min(rn) AS start_line, max(rn) AS end_line, CAST(sum(len) + count(*) - 1 AS BIGINT) AS bytes FROM p GROUP BY doc_id, part", recursive=True),
     "score_tone": "SELECT event_id, CASE WHEN event_id % 101 >= 80 THEN 'high' WHEN event_id % 101 >= 60 THEN 'medium' ELSE 'low' END AS tone, CAST(event_id % 101 AS BIGINT) AS percent FROM events",
     "pretty_id": _with(
         FILES,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,7 +238,42 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.files(spark, sf_dir)
     line = formatting.preview(F.col("content"))
-    return f.select("doc_id", F.left(line, F.lit(40)).alias("preview"), (F.octet_length("content") <= 160).alias("short"))
+    return f.select("doc_id", line.alias("preview"), (F.octet_length("content") <= 160).alias("short"))
+
+
+def content_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.files(spark, sf_dir).select("doc_id", F.sha2(text.truncated(F.col("content"), 100), 256).alias("sha256"))
+
+
+def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero bytes at the start, at the last place that is looked at, and behind it."""
+    content, kind, zero = F.col("content"), F.col("doc_id") % 4, F.lit("\x00")
+    made = F.when(kind == 0, F.concat(F.left(content, F.lit(10)), zero, content))
+    for k, n in ((1, 8191), (2, 8192)):
+        made = made.when(kind == k, F.concat(F.repeat(F.lit("x"), F.lit(n)), zero, content))
+    return X.files(spark, sf_dir).select("doc_id", text.looks_binary(made.otherwise(content).cast("binary")).alias("looks_binary"))
+
+
+def tokens_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.postings(X.table(spark, sf_dir, "documents").select("doc_id", X.camel(F.col("text")).alias("content")))
+
+
+def drop_reason_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.code_chunks(spark, sf_dir).select("doc_id", F.coalesce(text.drop_reason(F.col("content")), F.lit("keep")).alias("reason"))
+
+
+def merge_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every file as chunks, small ones merged."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
+                lines = [(line, n, n) for n, line in enumerate((content or "").encode().split(b"\n"), 1)]
+                rows += [(doc_id, first, last, len(raw)) for raw, first, last in chunking.merge_small(lines, 4000)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start_line", "end_line", "bytes"])
+
+    return X.files(spark, sf_dir).select("doc_id", "content").mapInPandas(run, "doc_id long, start_line long, end_line long, bytes long")
 
 
 def score_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,5 +326,6 @@ QUERIES = {
         postings, postings_stats, keyword_lookup, cosine_topk, vector_validate, keyword_only_candidates, hybrid_search, hybrid_search_multi, list_indexes,
         language_histogram, language_share, resolve_indexes, default_index, scope_filter, recent_searches, remembered_ids, result_text, copy_all, result_json, result_preview,
         score_tone, pretty_id, path_parts, line_clamp, language_display, human_sizes, embed_hashing, highlight_classes,
+        content_truncate, binary_sniff, tokens_camel, drop_reason_code, merge_small_chunks,
     )
 } | {"tokens": token_rows}
