@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +11,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text handled at once.
-CHARS = 3_000_000
+CHARS = 1_000_000
 #: A longer run of letters is cut into words of this length.
 LONGEST = 64
 
 
+@functools.cache
+def _trim():
+    """malloc_trim of the C library, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def released() -> None:
+    """Gives freed memory back to the system: workers wait for the next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def in_slices(batch: pa.RecordBatch, column: int = 1, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about so many bytes; a longer text is a part of its own."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
@@ -21,6 +38,7 @@ def in_slices(batch: pa.RecordBatch, column: int = 1, chars: int = CHARS) -> Ite
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, int)
     for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
         yield batch.slice(int(a), int(b - a))
+    released()
 
 
 def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
