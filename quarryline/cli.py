@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
+from collections.abc import Callable
 
 from .config import EngineConfig, first_set
 from .sources import stores
@@ -54,9 +56,30 @@ def main(argv: list[str] | None = None) -> int:
     return run(engine, args, root, codebase)
 
 
+def progress_line(done: int, total: int, seconds: float, width: int = 30) -> str:
+    """A bar, the share that is done, the counts and the time that the rest takes at the pace so far."""
+    share = min(1.0, done / total) if total else 1.0
+    left = int(seconds * (1 - share) / share) if share else None
+    return f"[{'=' * int(width * share):<{width}}] {share:4.0%} {done}/{total}" + ("" if left is None else f" {left // 60}m{left % 60:02d}s left")
+
+
+def shown_progress(stream=None) -> Callable[[int, int], None] | None:
+    """Rewrites one line of a terminal at each call; None where the stream is none."""
+    stream = stream or sys.stderr
+    if not stream.isatty():
+        return None
+    start = time.monotonic()
+
+    def show(done: int, total: int) -> None:
+        stream.write("\r" + progress_line(done, total, time.monotonic() - start) + ("\n" if done >= total else ""))
+        stream.flush()
+
+    return show
+
+
 def run(engine, args: argparse.Namespace, root: str, codebase: str) -> int:
     if args.command == "sync":
-        report = engine.sync(root, codebase)
+        report = engine.sync(root, codebase, progress=shown_progress())
         print(report["report"], report["upsert"], f"deleted {report['chunks_deleted']}")
     elif args.command == "search":
         if not args.words:
@@ -64,7 +87,7 @@ def run(engine, args: argparse.Namespace, root: str, codebase: str) -> int:
             return 2
         if not args.no_sync:
             try:
-                engine.sync(root, codebase)
+                engine.sync(root, codebase, progress=shown_progress())
             except Exception as error:
                 print(f"sync failed, searching anyway: {error}", file=sys.stderr)
         query = " ".join(args.words)

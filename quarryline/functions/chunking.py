@@ -6,6 +6,7 @@ Sizes are bytes of UTF-8. A chunk is (content, start_line, end_line), lines from
 from __future__ import annotations
 
 import ast
+import functools
 import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -189,8 +190,51 @@ def _stretch(raw: bytes, a: int, b: int, inner: list[tuple[int, int]]) -> Node:
 
 
 Boundaries = Callable[[bytes], list[Node] | None]
+#: By language: what a comment starts with, and what starts a line that goes on with the block above it.
+INDENTED = {
+    "ruby": (b"#", rb"(?:end|else|elsif|rescue|ensure|when|in|then)\b|[)\]}]"),
+    "lua": (b"--", rb"(?:end|else|elseif|until)\b|[)\]}]"),
+    "bash": (b"#", rb"(?:fi|done|esac|else|elif|then|do)\b|[)\]{}]"),
+}
+
+
+def indented_nodes(raw: bytes, comment: bytes, goes_on: re.Pattern) -> list[Node]:
+    """Top-level stretches of a language with closing words: a line at the margin starts one, unless it goes on with the one above.
+
+    Children are the header and the stretches that start at the smallest indentation inside. Every line is in some node.
+    """
+    lines = raw.split(b"\n")
+    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+    held = [k for k, line in enumerate(lines) if line.strip()]
+    deep = {k: len(lines[k]) - len(lines[k].lstrip()) for k in held}
+
+    def heads(of: list[int], margin: int) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in of:
+            if out and (deep[k] > margin or goes_on.match(lines[k].lstrip())):
+                out[-1].append(k)
+            else:
+                out.append([k])
+        return out
+
+    def spot(of: list[int]) -> tuple[int, int]:
+        return starts[of[0]], starts[of[-1]] + len(lines[of[-1]].rstrip())
+
+    out: list[Node] = []
+    for own in heads(held, 0):
+        if all(lines[k].lstrip().startswith(comment) for k in own):
+            out.append(("comment", *spot(own), []))
+        elif len(own) == 1:
+            out.append(("other", *spot(own), []))
+        else:
+            inner = heads(own[1:], min((deep[k] for k in own[1:] if deep[k]), default=0))
+            out.append(("definition", *spot(own), [("other", *spot(part), []) for part in (own[:1], *inner)]))
+    return out
+
+
 #: What finds the top-level nodes of a language; others are cut by lines.
 PROVIDERS: dict[str, Boundaries] = {"python": python_nodes} | {name: braced_nodes for name in BRACED}
+PROVIDERS |= {name: functools.partial(indented_nodes, comment=mark, goes_on=re.compile(more)) for name, (mark, more) in INDENTED.items()}
 
 
 def split_source(raw: bytes, path: str, config: EngineConfig = EngineConfig(), language: str | None = None) -> list[Chunk]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,19 +172,19 @@ class Engine:
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
-    def sync(self, root: str, codebase_id: str | None = None, **options) -> dict:
+    def sync(self, root: str, codebase_id: str | None = None, progress: Callable[[int, int], None] | None = None, **options) -> dict:
         """Scans a tree, compares it with the last manifest, pushes what changed and deletes what is gone.
 
         Content is read once, and only of files whose size or time differ; binary and broken files are counted but not pushed. Changed files
         go in batches of batch_files and batch_bytes; the manifest is written after each, so a sync that is cut short goes on
-        where it was, and a batch that fails is told in failed, unless most fail.
+        where it was, and a batch that fails is told in failed, unless most fail. progress is called with the files that are through and all of them.
         """
         codebase_id = codebase_id or stores.derived_id(root)
         collection = self.collection(codebase_id)
         with self.store.writing(collection):
-            return self._sync(root, codebase_id, collection, **options)
+            return self._sync(root, codebase_id, collection, progress or (lambda done, total: None), **options)
 
-    def _sync(self, root: str, codebase_id: str, collection: str, **options) -> dict:
+    def _sync(self, root: str, codebase_id: str, collection: str, progress: Callable[[int, int], None], **options) -> dict:
         options = {"maxBytes": self.config.max_file_bytes, "ignoreFiles": [".gitignore", self.config.ignore_file]} | options
         seen = tree.scan_tree(self.spark, root, content=False, **options).select(F.lit(codebase_id).alias("codebase_id"), "relative_path", "size", "mtime_ns")
         manifest = self.store.read(MANIFEST, collection, model.MANIFEST)
@@ -203,26 +205,29 @@ class Engine:
         push = push.select("relative_path", F.col("content").cast("string").alias("content"))
         sizes = push.select(F.lit(codebase_id).alias("codebase_id"), "relative_path", F.octet_length("content").cast("long").alias("size"))
         packed = self._staged("staging-batches", collection, batching.pack_files(sizes, self.config.batch_bytes, self.config.batch_files))
-        last = packed.agg(F.max("batch")).first()[0]
+        turns = {r.turn: r.n for r in packed.groupBy(F.floor(F.col("batch") / SYNC_BATCHES).alias("turn")).agg(F.count("*").alias("n")).collect()}
         stay = changes.where("status not in ('added', 'modified')")
         before = manifest.join(changes.where("status in ('modified')").select("relative_path"), "relative_path", "left_semi")
         columns = ("codebase_id", "relative_path", "sha256", "size", "mtime_ns")
         base = diff.next_manifest(stay).select(*columns)
         # A batch takes SYNC_BATCHES packed ones, so that an upsert has enough to do for all tasks.
-        stats, failed, total = [], [], 0
+        stats, failed, total, files = [], [], 0, 0
         done = packed.limit(0).select("relative_path")
-        for first in range(0, (last + 1) if last is not None else 0, SYNC_BATCHES):
+        for turn in sorted(turns):
+            first = turn * SYNC_BATCHES
             own = packed.where(F.col("batch").between(first, first + SYNC_BATCHES - 1)).select("relative_path")
-            total += 1
+            total, files = total + 1, files + turns[turn]
             try:
                 stats.append(self.upsert(codebase_id, push.join(own, "relative_path", "left_semi")))
             except Exception as error:
                 failed.append((total, str(error)[:500]))
+                progress(files, sum(turns.values()))
                 continue
             done = done.union(own)
             open_ = before.join(done, "relative_path", "left_anti")
             now = changes.join(done, "relative_path", "left_semi")
             self.store.write(MANIFEST, collection, base.unionByName(now.select(*columns)).unionByName(open_.select(*columns)))
+            progress(files, sum(turns.values()))
         if not stats:
             self.store.write(MANIFEST, collection, base.unionByName(before.select(*columns)))
         for name in ("staging-diff", "staging-read", "staging-batches"):

@@ -73,7 +73,9 @@ def test_tree_scan_and_sync(spark, engine, tmp_path):
     (root / ".gitignore").write_text("# c\n\nold/\n")
     seen = {r.relative_path for r in tree.scan_tree(spark, str(root)).collect()}
     assert seen == {"pkg/__init__.py", ".eslintrc.js", "pkg/a.go", "bin.go"}
-    first = engine.sync(str(root), "t")
+    seen = []
+    first = engine.sync(str(root), "t", progress=lambda done, total: seen.append((done, total)))
+    assert seen and seen[-1][0] == seen[-1][1]
     assert first["report"] == {"added": 4} and first["upsert"]["files_processed"] == 3
     assert engine.sync(str(root), "t")["report"] == {"added": 1, "unchanged": 3}
     os.remove(root / "pkg/a.go")

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline import cli
 from quarryline.config import EngineConfig, first_set
 from quarryline.functions import chunking, formatting, text, tokens
 from quarryline.sources import ignore
@@ -103,6 +104,34 @@ def test_large_definitions_keep_every_line():
     assert config.max_chunk_bytes == 300
 
 
+CLOSED = {
+    "a.rb": "# note\nrequire 'set'\n\nclass Shop\n  # inside\n  def sell(x)\n    if x\n      1\n    else\n      2\n    end\n  end\n\n  def buy\n    3\n  end\nend\nx = <<~T\n  one\nT\n",
+    "a.lua": "-- note\nlocal a = 1\nfunction f(x)\n  repeat\n    x = x - 1\n  until x < 0\n  return x\nend\nrepeat\n  f(1)\nuntil true\n",
+    "a.sh": "#!/bin/sh\nset -e\nrun()\n{\n  if true; then\n    echo a\n  fi\n}\nfor x in 1 2\ndo\n  run $x\ndone\n",
+}
+
+
+@pytest.mark.parametrize("path", CLOSED)
+def test_languages_with_closing_words(path):
+    raw = CLOSED[path].encode()
+    nodes = chunking.PROVIDERS[chunking.detect(path)](raw)
+    kinds = [(kind, raw[a:b].split(b"\n")[0].decode(), raw[a:b].split(b"\n")[-1].decode()) for kind, a, b, _ in nodes]
+    assert kinds == {
+        "a.rb": [("comment", "# note", "# note"), ("other", "require 'set'", "require 'set'"), ("definition", "class Shop", "end"), ("definition", "x = <<~T", "  one"), ("other", "T", "T")],
+        "a.lua": [("comment", "-- note", "-- note"), ("other", "local a = 1", "local a = 1"), ("definition", "function f(x)", "end"), ("definition", "repeat", "until true")],
+        "a.sh": [("comment", "#!/bin/sh", "#!/bin/sh"), ("other", "set -e", "set -e"), ("definition", "run()", "}"), ("definition", "for x in 1 2", "done")],
+    }[path]
+    for most in (20, 40, 200):
+        found = chunking.split_source(raw * 40, path, EngineConfig(max_chunk_bytes=most, overlap_bytes=0, whole_file_bytes=10))
+        held = "\n".join(body.decode() for body, _, _ in found)
+        assert all(line.strip() in held for line in CLOSED[path].split("\n")[1:] if line.strip())
+
+
+def test_progress_line():
+    assert cli.progress_line(1, 4, 30.0, 8) == "[==      ]  25% 1/4 1m30s left"
+    assert cli.progress_line(0, 4, 1.0, 4) == "[    ]   0% 0/4" and cli.progress_line(0, 0, 1.0, 4) == "[====] 100% 0/0 0m00s left"
+
+
 def test_null_content_has_no_chunk(spark):
     rows = spark.createDataFrame([("a.py", None), ("b.py", "x = 1")], "relative_path string, content string")
     assert [r.relative_path for r in chunking.chunk_lines(rows, 10, 0).collect()] == ["b.py"]
