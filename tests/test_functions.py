@@ -138,6 +138,21 @@ def test_null_content_has_no_chunk(spark):
     assert [r.relative_path for r in chunking.chunk_files(rows).collect()] == ["b.py"]
 
 
+def test_python_that_overflows_the_parser(spark):
+    """What the parser gives up on is cut by lines, whole."""
+    deep = ["-" * 6000 + "1", "not " * 3000 + "1", "a if b else " * 2000 + "c", "a = " + "1+" * 9000 + "1"]
+    rows = spark.createDataFrame([(f"f{k}.py", x) for k, x in enumerate(deep)], "relative_path string, content string")
+    found = chunking.chunk_files(rows).orderBy("relative_path", "ordinal").collect()
+    assert ["".join(r.content for r in found if r.relative_path == f"f{k}.py") for k in range(len(deep))] == deep
+
+
+def test_python_lines_that_end_in_carriage_returns():
+    raw = "".join(f"def f{k}():\r    return {k}\r" for k in range(40)).encode()
+    nodes = chunking.python_nodes(raw)
+    assert [raw[a:b] for _, a, b, _ in nodes] == [f"def f{k}():\r    return {k}".encode() for k in range(40)]
+    assert chunking.python_nodes(raw.replace(b"\r", b"\r\n"))[1][1] == len(b"def f0():\r\n    return 0\r\n")
+
+
 def test_trimming_long_runs(spark):
     rows = spark.createDataFrame([("a" + " " * 200_000 + "b \u00a0\n",), (" \u2003 x",), (" ",)], "t string").select(text.trimmed(F.col("t")).alias("t")).collect()
     assert [len(r.t) for r in rows] == [200_002, 1, 0]
