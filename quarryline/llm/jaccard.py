@@ -12,9 +12,10 @@ region of what it has in a part for every part that holds `rich` or more of its
 with more than T such parts: one of them is the same in a linked set, which enters that region too. Shingles that are common in a bounded
 sample are left out of this where the others still fill more than T parts, so that passages of many texts chain nothing; which
 ones are common changes the work and never the result. Texts that share a region are chained into clusters, the only places
-where links can be.
+where links can be. Large clusters are chained once more, by pairs that share as many regions as linked sets must: all that enter
+one but the T that may be touched.
 
-Inside a large cluster pivots are documents: each text goes to the Voronoi region of its nearest pivot and is
+Inside what is large still, pivots are documents: each text goes to the Voronoi region of its nearest pivot and is
 replicated into those of earlier pivots that are at most twice the threshold further away, so by the triangle inequality every link
 lies inside a region. Texts within the threshold of a pivot link to it at once; texts that such links connect are not
 compared with each other any more, and a region of nothing else is done. Regions recurse until they are small; one that its pivots
@@ -53,6 +54,10 @@ PIVOTS, LEVELS, SHRINK = 8, 8, 0.5
 #: Share of the texts on which common shingles are counted, at least so many texts, texts of them that hold one, and how many common
 #: shingles are kept at most (8 bytes each).
 SHARE, SAMPLE, COMMON, KNOWN = 0.2, 8000, 4, 1_000_000
+#: Shingles or keys that a task sends together, and those that one receives.
+SENT, GROUPED = 1_000_000, 2_000_000
+#: Texts of a region whose pairs are counted, at most.
+PAIRED = 32
 #: Ids of at most so many clustered documents are broadcast (8 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Rows without an id of their own have numbers from OWN_IDS up to half of it.
@@ -147,13 +152,17 @@ class Regions:
         return np.split(flat[keep], np.cumsum([0, *keep])[np.cumsum([len(s) for s in sets])][:-1])
 
     def keys(self, own: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        return self.spared(own, rare)[0]
+
+    def spared(self, own: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, spare): a linked set has as many of the keys as the least spare of the keys that both have, or more."""
         n = len(own)
         if not n:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int32)
         self._grow(n * 100 // self.percent)
         first = int(np.searchsorted(self.edges, n, "right")) - 1
         last = int(np.searchsorted(self.edges, n * 100 // self.percent, "right")) - 1
-        out = []
+        out: list[tuple[np.ndarray, int]] = []
         for ring in range(first, last + 1):
             found = self._part(ring)
             if found is None:
@@ -164,9 +173,10 @@ class Regions:
             rich = self._held(own if rare is None else rare, part, ring, differ, 0, out)
             if not rich and rare is not None and len(rare) < n:
                 self._held(own, part, ring, differ, 1, out)
-        return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+        keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[k for k, _ in out]]), return_index=True)
+        return keys.view(np.int64), np.repeat(np.array([x for _, x in out], np.int32), [len(k) for k, _ in out])[at]
 
-    def _held(self, own: np.ndarray, part: np.ndarray, ring: int, differ: int, kind: int, out: list[np.ndarray]) -> int:
+    def _held(self, own: np.ndarray, part: np.ndarray, ring: int, differ: int, kind: int, out: list[tuple[np.ndarray, int]]) -> int:
         """Adds the keys of the parts that hold enough of own to out; what enough is, 0 where too few parts hold anything."""
         at = np.append(np.searchsorted(own, part), len(own))
         held = np.diff(at)
@@ -176,10 +186,30 @@ class Regions:
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own + _U(0x9E3779B97F4A7C15)))])
             sig = (total[at[1:]] - total[at[:-1]])[some]
-            out.append(mixed(mixed(sig) + mixed(some.astype(np.uint64) * _U(2) + _U((ring << 32) + 1 + kind))))
+            # At most `differ` of these parts are not the same in a linked set.
+            out.append((mixed(mixed(sig) + mixed(some.astype(np.uint64) * _U(2) + _U((ring << 32) + 1 + kind))), len(some) - differ if rich else 1))
         return rich
 
 
+def packed(values: np.ndarray, first: int, kind: type) -> bytes:
+    """Sorted values from `first` on as their steps; the largest number of the kind is a step of that length without a value."""
+    most = np.iinfo(kind).max
+    far, step = np.divmod(np.diff(values, prepend=_U(first)), _U(most))
+    at = np.cumsum(far.astype(np.int64) + 1) - 1
+    out = np.full(at[-1] + 1 if len(at) else 0, most, kind)
+    out[at] = step
+    return out.tobytes()
+
+
+def unpacked(raw, first: int, kind: type) -> np.ndarray:
+    steps = np.frombuffer(raw, kind)
+    return (np.cumsum(steps, dtype=np.uint64) + _U(first))[steps != np.iinfo(kind).max]
+
+
+def _starts(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(j << bits) // buckets for j in range(buckets)], np.uint64)
+
+
 def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
     """Sorted hashes of the shingles in COMMON or more of a share of the n texts of docs (node, text), the KNOWN most common at most."""
 
@@ -228,10 +258,87 @@ def shapes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
-    """Edges (u, v) that connect all texts of docs (node, text) that share a region.
+def _near_ids(node: np.ndarray) -> tuple[int, int, bytes]:
+    """(base, bytes of a number, numbers from base on)."""
+    base, last = int(node.min()), int(node.max())
+    kind = next((k for k in (np.uint16, np.uint32) if last - base <= np.iinfo(k).max), None)
+    return (0, 8, node.tobytes()) if kind is None else (base, kind().itemsize, (node - base).astype(kind).tobytes())
+
+
+def _near_ids_read(base: int, width: int, raw) -> np.ndarray:
+    return np.frombuffer(raw, np.int64) if width == 8 else np.frombuffer(raw, f"u{width}").astype(np.int64) + base
+
+
+def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common: np.ndarray | None = None, n: int = 0) -> DataFrame:
+    """Edges (u, v) that connect all texts of docs (node, text) that share a region; n: about how many shingles they have.
+
+    A task chains the texts that share a region as far as it holds them, and sends each region with one of them. Regions are told
+    by 48 bits here, sent as steps of 32 bits; what that puts together by chance is compared like the rest.
+    """
+    starts = _starts(max(1, math.ceil(n / GROUPED)), 48)
+
+    def rows(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        flat, node = np.concatenate(keys).view(np.uint64) >> _U(16), np.concatenate(nodes)
+        order = np.argsort(flat, kind="stable")
+        flat, node = flat[order], node[order]
+        first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+        low = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(flat))))
+        u, v = contracted(node[~first], low[~first])
+        flat, node = flat[first], node[first]
+        cut = np.append(np.searchsorted(flat, starts), len(flat))
+        some = np.flatnonzero(np.diff(cut))
+        out = [(int(j), packed(flat[cut[j] : cut[j + 1]], int(starts[j]), np.uint32), *_near_ids(node[cut[j] : cut[j + 1]])) for j in some]
+        if len(u):
+            # Edges have no regions.
+            out.append((int(u[0]) % len(starts), u.tobytes(), 0, 0, v.tobytes()))
+        bucket, body, base, width, ids = zip(*out, strict=True) if out else ((),) * 5
+        columns = [pa.array(x, t) for x, t in ((bucket, pa.int32()), (body, pa.binary()), (base, pa.int64()), (width, pa.int32()), (ids, pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "body", "base", "width", "ids"])
+
+    def run(batches):
+        regions, keys, nodes, size = Regions(percent, common), [], [], 0
+        for batch in batches:
+            for part in in_slices(batch):
+                sets = shingle_sets(part.column(1), words)
+                own = [regions.keys(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
+                keys.append(np.concatenate([np.empty(0, np.int64), *own]))
+                nodes.append(np.repeat(part.column(0).to_numpy(), [len(k) for k in own]))
+                size += len(keys[-1])
+                if size >= SENT:
+                    yield rows(keys, nodes)
+                    keys, nodes, size = [], [], 0
+        if keys:
+            yield rows(keys, nodes)
+
+    def met(found: pa.Table) -> pa.Table:
+        start = int(starts[found["bucket"][0].as_py()])
+        flat, node, u, v = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], []
+        for body, base, width, ids in zip(found["body"], found["base"].to_pylist(), found["width"].to_pylist(), found["ids"], strict=True):
+            if width:
+                flat.append(unpacked(body.as_buffer(), start, np.uint32))
+                node.append(_near_ids_read(base, width, ids.as_buffer()))
+            else:
+                u.append(np.frombuffer(body.as_buffer(), np.int64))
+                v.append(np.frombuffer(ids.as_buffer(), np.int64))
+        flat, node = np.concatenate(flat), np.concatenate(node)
+        order = np.argsort(flat, kind="stable")
+        flat, node = flat[order], node[order]
+        first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+        low = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(flat))))
+        u, v = contracted(np.concatenate([*u, node[~first]]), np.concatenate([*v, low[~first]]))
+        del flat, node, order, low
+        released()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = docs.select("node", "text").mapInArrow(run, "bucket int, body binary, base long, width int, ids binary")
+    return found.groupBy("bucket").applyInArrow(met, "u long, v long")
+
+
+def finer(texts: DataFrame, words: int, percent: int, common: np.ndarray | None, buckets: int) -> DataFrame:
+    """Edges (u, v) between texts (node, text) that share as many regions as linked ones do.
 
-    Texts of one slice that share a region are chained there, so a region sends a row a slice, not one a text.
+    Regions of more than PAIRED texts connect all of them; in others the shared regions of every pair are counted, so that a chance
+    passage of a few short texts chains nothing.
     """
 
     def run(batches):
@@ -239,23 +346,32 @@ def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common:
         for batch in batches:
             for part in in_slices(batch):
                 sets = shingle_sets(part.column(1), words)
-                keys = [regions.keys(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
-                flat = np.concatenate([np.empty(0, np.int64), *keys])
-                node = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
-                order = np.lexsort((node, flat))
-                flat, node = flat[order], node[order]
-                first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
-                low = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(flat))))
-                u, v = contracted(node[~first], low[~first])
-                out = [pa.concat_arrays([pa.array(flat[first]), pa.nulls(len(u), pa.int64())]), pa.array(np.concatenate([node[first], u])), pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(v)])]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "u", "v"])
-
-    rows = docs.select("node", "text").mapInArrow(run, "key long, u long, v long")
-    # An edge has no key; keys that are random numbers spread edges among them.
-    spread = F.coalesce("key", F.xxhash64("u"))
-    low = F.min("u").over(Window.partitionBy("at", F.col("key").isNull()))
-    found = rows.select(spread.alias("at"), "key", "u", "v").withColumn("low", low)
-    return found.select("u", F.coalesce("v", "low").alias("v")).where("u <> v")
+                own = [regions.spared(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
+                node = np.repeat(part.column(0).to_numpy(), [len(k) for k, _ in own])
+                flat = [np.concatenate([np.empty(0, t), *[x[i] for x in own]]) for i, t in enumerate((np.int64, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(node), pa.array(flat[1])], names=["key", "node", "spare"])
+
+    def pairs(found: pa.Table) -> pa.Table:
+        key, node, spare = (found[c].to_numpy() for c in ("key", "node", "spare"))
+        order = np.lexsort((node, key))
+        key, node, spare = key[order], node[order], spare[order].astype(np.int64)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        big = np.repeat(size > PAIRED, size)
+        low = np.repeat(node[at], size)
+        u, v = contracted(node[big], low[big])
+        out = [(u, v, np.zeros(len(u), np.int64))]
+        for g in np.unique(size[(size > 1) & (size <= PAIRED)]).tolist():
+            one, two = np.triu_indices(g, 1)
+            of = at[size == g][:, None]
+            a, b = (of + one).ravel(), (of + two).ravel()
+            out.append((node[a], node[b], np.minimum(spare[a], spare[b])))
+        u, v, need = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"u": u, "v": v, "need": need})
+
+    keys = texts.select("node", "text").mapInArrow(run, "key long, node long, spare int")
+    met = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(pairs, "u long, v long, need long")
+    return met.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("u", "v")
 
 
 def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -465,13 +581,26 @@ def links_of(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, commo
     texts = materialize(texts.select("region", "node", "text"), "jaccard-texts")
     # A set takes about three bytes for one of text.
     n, load = F.count("*"), 3 * F.sum(F.octet_length("text"))
-    sizes = texts.groupBy("region").agg(n.alias("n"), load.alias("bytes"), F.ceil(F.greatest(n / BLOCK, load / BLOCK_BYTES)).cast("long").alias("blocks"))
-    sizes = materialize(sizes.where("n > 1"), "jaccard-sizes")
+    size = lambda rows: materialize(
+        rows.groupBy("region").agg(n.alias("n"), load.alias("bytes"), F.ceil(F.greatest(n / BLOCK, load / BLOCK_BYTES)).cast("long").alias("blocks")).where("n > 1"), "jaccard-sizes"
+    )
+    sizes = size(texts)
+    stored = [texts, sizes]
+    heavy = sizes.where("blocks > 1").agg(F.sum("bytes")).first()[0]
+    if heavy:
+        large = inside(texts, sizes.where("blocks > 1")).select("node", "text")
+        again = connected_components(finer(large, words, percent, common, math.ceil(heavy / BLOCK_BYTES)), "jaccard-finer")
+        again = materialize(again.select("node", F.col("component").alias("region")), "jaccard-again")
+        # A component is named by a node of its own cluster, so the names differ from those of the small clusters.
+        small = inside(texts, sizes.where("blocks = 1")).select("region", "node", "text")
+        texts = materialize(small.unionByName(attached(large, again, "node", BROADCAST_ROWS).select("region", "node", "text")), "jaccard-texts")
+        sizes = size(texts)
+        stored += [again, texts, sizes]
     small = inside(texts, sizes.where("blocks = 1")).select("region", "node", "text", *in_one)
     small = small.withColumn("task", shared(sizes.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0))
     edges, tasks = [small.groupBy("task").applyInArrow(_links(percent, words), "u long, v long")], []
     rows = materialize(_set_rows(inside(texts, sizes.where("blocks > 1")), words, common).withColumn("comp", F.lit(None).cast("long")), "jaccard-members")
-    stored = [texts, sizes, rows]
+    stored.append(rows)
     sizes = materialize(_sized(rows, "region"), "jaccard-sizes")
     stored.append(sizes)
     for level in range(LEVELS + 1):
@@ -511,8 +640,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     shape = F.struct("f1", "f2", "n_shingles")
     some = signed.where("n_shingles > 0").withColumn("shape", shape)
     first = materialize(some.groupBy("shape").agg(F.min("node").alias("rep"), F.count("*").alias("copies")), "jaccard-first")
+    n = signed.agg(F.sum("n_shingles")).first()[0] or 0
     common = common_shingles(docs, words, signed.count())
-    clusters = connected_components(chained(docs, words, percent, common), "jaccard-clusters")
+    clusters = connected_components(chained(docs, words, percent, common, n), "jaccard-clusters")
     # Texts with equal sets share their regions, so one of them stands for all.
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("region")).join(first.select("rep"), "rep").withColumnRenamed("rep", "node"), "jaccard-nodes")
     sizes = members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")

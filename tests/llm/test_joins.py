@@ -92,6 +92,29 @@ def test_common_passages_chain_nothing(spark):
         assert len({clusters.get(i, i) for i in long}) > 0.8 * len([i for i in long if i < 1000])
 
 
+def test_chance_passages_are_not_compared_in_blocks(spark, monkeypatch):
+    """Short texts that passages connect with a few others are a large cluster, and none of its blocks meet."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    compared = []
+    paired = jaccard._paired
+    monkeypatch.setattr(jaccard, "_paired", lambda rows: compared.append(paired(rows).count()) or paired(rows))
+    passage = [" ".join(f"w{i}_{k}" for k in range(9)) for i in range(600)]
+    rows = [(i, f"{passage[i]} a{i} b{i} {passage[(i + 1) % 600]} c{i} d{i} {passage[7 * i % 600]}") for i in range(600)]
+    rows.append((1000, f"{rows[7][1]} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, 5, 80).collect()} == brute_jaccard(rows, 5, 80)
+    clusters = connected_components(jaccard.chained(docs.withColumnRenamed("doc_id", "node"), 5, 80)).groupBy("component").count()
+    assert clusters.agg({"count": "max"}).first()[0] > 40 and sum(compared) == 0
+
+
+@pytest.mark.parametrize(("kind", "bits"), [(np.uint16, 32), (np.uint32, 48)])
+def test_packed_values_come_back(kind, bits):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 5000):
+        values = np.sort(rng.integers(2**20, 2**bits, n, dtype=np.uint64).repeat(2))
+        assert (jaccard.unpacked(jaccard.packed(values, 2**20, kind), 2**20, kind) == values).all()
+
+
 def test_near_copies_take_linear_work(spark, monkeypatch):
     """Of 4 times the copies of a text, which all link to it and mostly not to each other, about 4 times the rows are compared."""
     compared = []
