@@ -9,8 +9,8 @@ of shingles and its parts: the distance to the universe is a text's size, and it
 are the first regions, a text near an outer boundary being replicated into the next ring. Within a ring
 linked sets differ in at most T shingles, each of which touches one of the universe's parts (by hash). A text enters the
 region of what it has in a part for every part that holds `rich` or more of its shingles, rich being the largest number
-with more than T such parts: one of them is the same in a linked set, which enters that region too. Shingles that are common in a bounded
-sample are left out of this where the others still fill more than T parts, so that passages of many texts chain nothing; which
+with more than T such parts: one of them is the same in a linked set, which enters that region too. Shingles that are common among all texts
+are left out of this where the others still fill more than T parts, so that passages of many texts chain nothing; which
 ones are common changes the work and never the result. Texts that share a region are chained into clusters, the only places
 where links can be. Large clusters are chained once more, by pairs that share as many regions as linked sets must: all that enter
 one but the T that may be touched.
@@ -51,9 +51,8 @@ INFORMED = 4
 BLOCK, BLOCK_BYTES, SHARED_BYTES = 384, 4 << 20, 4 << 20
 #: Pivots of a region, levels of regions at most, and share of the comparisons that a cut may leave.
 PIVOTS, LEVELS, SHRINK = 8, 8, 0.5
-#: Share of the texts on which common shingles are counted, at least so many texts, texts of them that hold one, and how many common
-#: shingles are kept at most (8 bytes each).
-SHARE, SAMPLE, COMMON, KNOWN = 0.2, 8000, 4, 1_000_000
+#: Texts that hold a common shingle, at least, and how many common shingles are kept at most (4 bytes each).
+COMMON, KNOWN = 20, 1_000_000
 #: Shingles or keys that a task sends together, and those that one receives.
 SENT, GROUPED = 1_000_000, 2_000_000
 #: Texts of a region whose pairs are counted, at most.
@@ -124,11 +123,11 @@ def parts_of(least: int, differ: int) -> int:
 
 
 class Regions:
-    """The region keys of shingle sets; common: sorted hashes of shingles that are in many texts."""
+    """The region keys of shingle sets; common: sorted first halves of the hashes of shingles that are in many texts."""
 
     def __init__(self, percent: int = PERCENT, common: np.ndarray | None = None):
         self.percent, self.growth, self.edges, self.parts = percent, growth_of(percent), [1], {}
-        self.common = np.empty(0, np.uint64) if common is None else common
+        self.common = np.empty(0, np.uint32) if common is None else common
 
     def _grow(self, most: int) -> None:
         while self.edges[-1] <= most:
@@ -148,7 +147,8 @@ class Regions:
         flat = np.concatenate([np.empty(0, np.uint64), *sets])
         if not len(self.common) or not len(flat):
             return sets
-        keep = self.common[np.minimum(np.searchsorted(self.common, flat), len(self.common) - 1)] != flat
+        short = (flat >> _U(32)).astype(np.uint32)
+        keep = self.common[np.minimum(np.searchsorted(self.common, short), len(self.common) - 1)] != short
         return np.split(flat[keep], np.cumsum([0, *keep])[np.cumsum([len(s) for s in sets])][:-1])
 
     def keys(self, own: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
@@ -171,7 +171,7 @@ class Regions:
             # enters the regions of all its parts with rare shingles, where those that have them meet it, and regions by all shingles.
             part, differ = found
             rich = self._held(own if rare is None else rare, part, ring, differ, 0, out)
-            if not rich and rare is not None and len(rare) < n:
+            if not rich:
                 self._held(own, part, ring, differ, 1, out)
         keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[k for k, _ in out]]), return_index=True)
         return keys.view(np.int64), np.repeat(np.array([x for _, x in out], np.int32), [len(k) for k, _ in out])[at]
@@ -211,20 +211,46 @@ def _starts(buckets: int, bits: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
-    """Sorted hashes of the shingles in COMMON or more of a share of the n texts of docs (node, text), the KNOWN most common at most."""
+    """Sorted first halves of the hashes of the shingles in COMMON or more of all texts of docs (node, text), the KNOWN most common at most.
 
-    def count(batches):
+    n: about how many shingles the texts have. Counts are by half a hash, which a task sends as steps of 16 bits.
+    """
+    starts = _starts(max(1, math.ceil(n / GROUPED)), 32)
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.sort(np.concatenate(held)).astype(np.uint64)
+        cut = np.append(np.searchsorted(values, starts), len(values))
+        some = np.flatnonzero(np.diff(cut))
+        body = [packed(values[cut[j] : cut[j + 1]], int(starts[j]), np.uint16) for j in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "body"])
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in in_slices(batch):
-                own, times = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(part.column(1), words)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times.astype(np.int64))], names=["shingle", "n"])
+                held.append((np.concatenate([np.empty(0, np.uint64), *shingle_sets(part.column(1), words)]) >> _U(32)).astype(np.uint32))
+                size += len(held[-1])
+                if size >= SENT:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    def count(found: pa.Table) -> pa.Table:
+        first = int(starts[found["bucket"][0].as_py()])
+        values = np.sort(np.concatenate([unpacked(x.as_buffer(), first, np.uint16).astype(np.uint32) for x in found["body"]]))
+        at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        times = np.diff(np.append(at, len(values)))
+        often = times >= COMMON
+        out = pa.table({"shingle": values[at[often]].astype(np.int64), "n": times[often].astype(np.int64)})
+        del values, at, times
+        released()
+        return out
 
-    share = math.ceil(1_000_000 * min(1.0, max(SHARE, SAMPLE / max(1, n))))
-    some = docs.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < share)
-    found = some.select("node", "text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = docs.select("node", "text").mapInArrow(run, "bucket int, body binary").groupBy("bucket").applyInArrow(count, "shingle long, n long")
     # A million hashes at most, whatever the input.
-    best = found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(KNOWN).select("shingle").toArrow()["shingle"]
-    return np.sort(best.to_numpy().view(np.uint64))
+    best = found.orderBy(F.desc("n"), "shingle").limit(KNOWN).select("shingle").toArrow()["shingle"]
+    return np.sort(best.to_numpy().astype(np.uint32))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -641,7 +667,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     some = signed.where("n_shingles > 0").withColumn("shape", shape)
     first = materialize(some.groupBy("shape").agg(F.min("node").alias("rep"), F.count("*").alias("copies")), "jaccard-first")
     n = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    common = common_shingles(docs, words, signed.count())
+    common = common_shingles(docs, words, n)
     clusters = connected_components(chained(docs, words, percent, common, n), "jaccard-clusters")
     # Texts with equal sets share their regions, so one of them stands for all.
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("region")).join(first.select("rep"), "rep").withColumnRenamed("rep", "node"), "jaccard-nodes")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryline.llm import covertree, hamming, jaccard
@@ -107,6 +108,19 @@ def test_chance_passages_are_not_compared_in_blocks(spark, monkeypatch):
     assert clusters.agg({"count": "max"}).first()[0] > 40 and sum(compared) == 0
 
 
+def test_small_sets_in_one_part_share_a_region():
+    """Sets that link share a region where all their shingles fall into one part, as many as both can spare."""
+    rng = np.random.default_rng(5)
+    for percent, n in ((80, 5), (80, 8), (90, 10)):
+        for _ in range(50):
+            full = np.sort(rng.integers(0, 2**62, n, dtype=np.uint64))
+            for common in (None, (full[:2] >> np.uint64(32)).astype(np.uint32), np.empty(0, np.uint32)):
+                regions = jaccard.Regions(percent, common)
+                found = [dict(zip(*(x.tolist() for x in regions.spared(s, regions.rare([s])[0])), strict=True)) for s in (full, full[1:])]
+                both = found[0].keys() & found[1].keys()
+                assert len(both) >= max(1, min([min(f[k] for f in found) for k in both], default=1))
+
+
 @pytest.mark.parametrize(("kind", "bits"), [(np.uint16, 32), (np.uint32, 48)])
 def test_packed_values_come_back(kind, bits):
     rng = np.random.default_rng(3)
@@ -115,6 +129,16 @@ def test_packed_values_come_back(kind, bits):
         assert (jaccard.unpacked(jaccard.packed(values, 2**20, kind), 2**20, kind) == values).all()
 
 
+def test_common_shingles_are_counted_in_all_texts(spark):
+    """What COMMON texts hold is common, and what one text fewer holds is not, however many texts there are."""
+    passages = [f"p{k} q{k} r{k}" for k in range(40)]
+    rows = [(100 * k + i, f"a{k}_{i} {x} b{k}_{i}") for k, x in enumerate(passages) for i in range(jaccard.COMMON - k % 2)]
+    rows += [(10_000 + i, f"c{i} d{i} e{i} f{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "node long, text string")
+    wanted = {int(jaccard.shingle_sets(pa.array([x]), 3)[0][0]) >> 32 for x in passages[::2]}
+    assert set(jaccard.common_shingles(docs, 3, 10**7).tolist()) == wanted
+
+
 def test_near_copies_take_linear_work(spark, monkeypatch):
     """Of 4 times the copies of a text, which all link to it and mostly not to each other, about 4 times the rows are compared."""
     compared = []
