@@ -55,6 +55,8 @@ PIVOTS, LEVELS, SHRINK = 8, 8, 0.5
 COMMON, KNOWN = 20, 1_000_000
 #: Shingles or keys that a task sends together, and those that one receives.
 SENT, GROUPED = 1_000_000, 2_000_000
+#: One of so many regions is met before the others.
+SAMPLED = 16
 #: Texts of a region whose pairs are counted, at most.
 PAIRED = 32
 #: Ids of at most so many clustered documents are broadcast (8 bytes each); beyond that the join shuffles.
@@ -298,22 +300,41 @@ def _near_ids_read(base: int, width: int, raw) -> np.ndarray:
 def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common: np.ndarray | None = None, n: int = 0) -> DataFrame:
     """Edges (u, v) that connect all texts of docs (node, text) that share a region; n: about how many shingles they have.
 
+    Of texts that share most of their regions every task would send an edge. So a sample of the regions is met first, and what it
+    connects is one node for the others, whose tasks then only send what is new: what texts with few regions in common share.
+    """
+    own = docs.select("node", "text", F.lit(None).cast("long").alias("head"))
+    if n <= GROUPED:
+        return _chained(own, words, percent, common, n)
+    found = connected_components(_chained(own, words, percent, common, n // SAMPLED, True), "jaccard-sample")
+    heads = materialize(found.where("node <> component").select("node", F.col("component").alias("head")), "jaccard-heads")
+    own = attached(docs.select("node", "text"), heads, "node", BROADCAST_ROWS, "left").select("node", "text", "head")
+    return _chained(own, words, percent, common, n, False).unionByName(heads.select(F.col("node").alias("u"), F.col("head").alias("v")))
+
+
+def _chained(docs: DataFrame, words: int, percent: int, common: np.ndarray | None, n: int, sample: bool | None = None) -> DataFrame:
+    """Edges (u, v) between the nodes of docs (node, text, head) that share a region, of the sample or of the others alone; a head stands for its nodes.
+
     A task chains the texts that share a region as far as it holds them, and sends each region with one of them. Regions are told
     by 48 bits here, sent as steps of 32 bits; what that puts together by chance is compared like the rest.
     """
     starts = _starts(max(1, math.ceil(n / GROUPED)), 48)
 
-    def rows(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        flat, node = np.concatenate(keys).view(np.uint64) >> _U(16), np.concatenate(nodes)
+    def rows(keys: list[np.ndarray], nodes: list[np.ndarray], moved: list[np.ndarray]) -> pa.RecordBatch:
+        flat, node, far = np.concatenate(keys).view(np.uint64) >> _U(16), np.concatenate(nodes), np.concatenate(moved)
         order = np.argsort(flat, kind="stable")
-        flat, node = flat[order], node[order]
+        flat, node, far = flat[order], node[order], far[order]
         first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
         low = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(flat))))
         u, v = contracted(node[~first], low[~first])
-        flat, node = flat[first], node[first]
-        cut = np.append(np.searchsorted(flat, starts), len(flat))
-        some = np.flatnonzero(np.diff(cut))
-        out = [(int(j), packed(flat[cut[j] : cut[j + 1]], int(starts[j]), np.uint32), *_near_ids(node[cut[j] : cut[j + 1]])) for j in some]
+        del order, low
+        out = []
+        # Heads may be far from the nodes of a task, whose numbers take fewer bytes by themselves.
+        for kind in (first & ~far, first & far):
+            key, own = flat[kind], node[kind]
+            cut = np.append(np.searchsorted(key, starts), len(key))
+            some = np.flatnonzero(np.diff(cut))
+            out += [(int(j), packed(key[cut[j] : cut[j + 1]], int(starts[j]), np.uint32), *_near_ids(own[cut[j] : cut[j + 1]])) for j in some]
         if len(u):
             # Edges have no regions.
             out.append((int(u[0]) % len(starts), u.tobytes(), 0, 0, v.tobytes()))
@@ -322,19 +343,25 @@ def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common:
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "body", "base", "width", "ids"])
 
     def run(batches):
-        regions, keys, nodes, size = Regions(percent, common), [], [], 0
+        regions, keys, nodes, moved, size = Regions(percent, common), [], [], [], 0
         for batch in batches:
             for part in in_slices(batch):
                 sets = shingle_sets(part.column(1), words)
                 own = [regions.keys(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
+                if sample is not None:
+                    own = [k[(k % SAMPLED == 0) == sample] for k in own]
+                held = [len(k) for k in own]
                 keys.append(np.concatenate([np.empty(0, np.int64), *own]))
-                nodes.append(np.repeat(part.column(0).to_numpy(), [len(k) for k in own]))
+                nodes.append(np.repeat(pc.coalesce(part.column(2), part.column(0)).to_numpy(), held))
+                moved.append(np.repeat(pc.is_valid(part.column(2)).to_numpy(zero_copy_only=False), held))
                 size += len(keys[-1])
                 if size >= SENT:
-                    yield rows(keys, nodes)
-                    keys, nodes, size = [], [], 0
+                    yield rows(keys, nodes, moved)
+                    keys, nodes, moved, size = [], [], [], 0
         if keys:
-            yield rows(keys, nodes)
+            yield rows(keys, nodes, moved)
+        del keys, nodes, moved
+        released()
 
     def met(found: pa.Table) -> pa.Table:
         start = int(starts[found["bucket"][0].as_py()])
@@ -356,7 +383,7 @@ def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common:
         released()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    found = docs.select("node", "text").mapInArrow(run, "bucket int, body binary, base long, width int, ids binary")
+    found = docs.select("node", "text", "head").mapInArrow(run, "bucket int, body binary, base long, width int, ids binary")
     return found.groupBy("bucket").applyInArrow(met, "u long, v long")
 
 

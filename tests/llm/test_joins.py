@@ -108,6 +108,25 @@ def test_chance_passages_are_not_compared_in_blocks(spark, monkeypatch):
     assert clusters.agg({"count": "max"}).first()[0] > 40 and sum(compared) == 0
 
 
+def test_linked_texts_are_not_sent_by_every_task(spark, monkeypatch):
+    """4 times the texts, met in 4 times the tasks, make about 4 times the edges, and the clusters of a single task."""
+    rng, made = random.Random(4), []
+    for n in (100, 400):
+        words = [[f"w{rng.randrange(10**7)}" for _ in range(300)] for _ in range(n)]
+        # Near copies, and texts that share half of their words, lie in other tasks than the texts.
+        kinds = [words, [[*w, "end"] for w in words], [w[:150] + [f"x{rng.randrange(10**7)}" for _ in range(150)] for w in words]]
+        rows = [(k * n + i, " ".join(w)) for k, kind in enumerate(kinds) for i, w in enumerate(kind)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "node long, text string")
+        alone = {r.node: r.component for r in connected_components(jaccard.chained(docs, 5, 80)).collect()}
+        monkeypatch.setattr(jaccard, "GROUPED", 2000)
+        edges = spark.createDataFrame(jaccard.chained(docs, 5, 80, None, 900 * n).toPandas())
+        monkeypatch.undo()
+        assert {r.node: r.component for r in connected_components(edges).collect()} == alone
+        assert all(alone[i] == alone[n + i] == i for i in range(n))
+        made.append(edges.count())
+    assert made[1] < 6 * made[0]
+
+
 def test_small_sets_in_one_part_share_a_region():
     """Sets that link share a region where all their shingles fall into one part, as many as both can spare."""
     rng = np.random.default_rng(5)
