@@ -57,6 +57,8 @@ COMMON, KNOWN = 20, 1_000_000
 SENT, GROUPED = 1_000_000, 2_000_000
 #: One of so many regions is met before the others.
 SAMPLED = 16
+#: Bytes of a region's key.
+KEY_BYTES = 6
 #: Texts of a region whose pairs are counted, at most.
 PAIRED = 32
 #: Ids of at most so many clustered documents are broadcast (8 bytes each); beyond that the join shuffles.
@@ -64,6 +66,9 @@ BROADCAST_ROWS = 1_000_000
 #: Rows without an id of their own have numbers from OWN_IDS up to half of it.
 OWN_IDS = -(2**63)
 _U = np.uint64
+#: The primes of xxh64, and the bytes of a block, of which shorter inputs have none.
+XX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+XX_BLOCK = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,13 +77,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """xxh64 of words: those shorter than its blocks all at once, by eight, four and single bytes."""
     import xxhash
 
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[\t-\r ]+")
+    if not len(words):
+        return np.empty(0, np.uint64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    at, size = ends[:-1].copy(), np.diff(ends)
+    raw = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8))
+    eight, four = (np.ndarray(len(raw) - 7, t, raw, strides=(1,)) for t in (np.uint64, np.uint32))
+    turned = lambda x, k: (x << _U(k)) | (x >> _U(64 - k))
+    with np.errstate(over="ignore"):
+        out = size.astype(np.uint64) + XX[4]
+        for step in range(0, XX_BLOCK - 8, 8):
+            some = np.flatnonzero((size >= step + 8) & (size < XX_BLOCK))
+            own = turned(eight[at[some]] * XX[1], 31) * XX[0]
+            out[some] = turned(out[some] ^ own, 27) * XX[0] + XX[3]
+            at[some] += 8
+        some = np.flatnonzero(size & 4)
+        out[some] = turned(out[some] ^ four[at[some]].astype(np.uint64) * XX[0], 23) * XX[1] + XX[2]
+        at[some] += 4
+        for step in range(3):
+            some = np.flatnonzero((size & 3) > step)
+            out[some] = turned(out[some] ^ raw[at[some] + step].astype(np.uint64) * XX[4], 11) * XX[0]
+        out = (out ^ (out >> _U(33))) * XX[1]
+        out = (out ^ (out >> _U(29))) * XX[2]
+        out ^= out >> _U(32)
+    for i in np.flatnonzero(size >= XX_BLOCK).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[ends[i] : ends[i + 1]])
+    return out
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    # White space is that of ASCII here: tab to carriage return, and the space.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.values.dictionary_encode()
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    own = word_hashes(coded.dictionary)
     codes = coded.indices.to_numpy()
     real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)[codes] if len(codes) else np.empty(0, bool)
     ends = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()]
@@ -91,7 +128,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
         for b in ends.tolist():
             n = b - a
             if n >= words:
-                out.append(np.unique(h[a : b - words + 1]))
+                x = np.sort(h[a : b - words + 1])
+                out.append(x[np.append(True, x[1:] != x[:-1])])
             elif n:
                 one = np.full(1, n, np.uint64)
                 for x in w[a:b]:
@@ -130,6 +168,9 @@ class Regions:
     def __init__(self, percent: int = PERCENT, common: np.ndarray | None = None):
         self.percent, self.growth, self.edges, self.parts = percent, growth_of(percent), [1], {}
         self.common = np.empty(0, np.uint32) if common is None else common
+        # Where the common ones with the same first bits start.
+        self.shift = 32 - min(24, len(self.common).bit_length())
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.common >> np.uint32(self.shift), minlength=1 << (32 - self.shift)))]).astype(np.int32)
 
     def _grow(self, most: int) -> None:
         while self.edges[-1] <= most:
@@ -150,8 +191,15 @@ class Regions:
         if not len(self.common) or not len(flat):
             return sets
         short = (flat >> _U(32)).astype(np.uint32)
-        keep = self.common[np.minimum(np.searchsorted(self.common, short), len(self.common) - 1)] != short
-        return np.split(flat[keep], np.cumsum([0, *keep])[np.cumsum([len(s) for s in sets])][:-1])
+        bits = short >> np.uint32(self.shift)
+        at, end = self.starts[bits], self.starts[bits + np.uint32(1)]
+        keep, some = np.ones(len(flat), bool), np.flatnonzero(at < end)
+        while len(some):
+            found = self.common[at[some]] == short[some]
+            keep[some[found]] = False
+            at[some] += 1
+            some = some[~found & (at[some] < end[some])]
+        return np.split(flat[keep], np.concatenate([[0], np.cumsum(keep)])[np.cumsum([len(s) for s in sets])][:-1])
 
     def keys(self, own: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         return self.spared(own, rare)[0]
@@ -215,28 +263,25 @@ def _starts(buckets: int, bits: int) -> np.ndarray:
 def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
     """Sorted first halves of the hashes of the shingles in COMMON or more of all texts of docs (node, text), the KNOWN most common at most.
 
-    n: about how many shingles the texts have. Counts are by half a hash, which a task sends as steps of 16 bits.
+    n: about how many shingles the texts have.
     """
-    starts = _starts(max(1, math.ceil(n / GROUPED)), 32)
+    return most_common(shapes(docs.select("node", F.lit(None).cast("long").alias("doc_id"), "text"), words), n)
 
-    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        values = np.sort(np.concatenate(held)).astype(np.uint64)
-        cut = np.append(np.searchsorted(values, starts), len(values))
-        some = np.flatnonzero(np.diff(cut))
-        body = [packed(values[cut[j] : cut[j + 1]], int(starts[j]), np.uint16) for j in some]
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "body"])
 
-    def run(batches):
-        held, size = [], 0
+def most_common(counted: DataFrame, n: int) -> np.ndarray:
+    """What common_shingles gives, of the halves that the bodies of shapes() hold."""
+    starts = _starts(max(1, math.ceil(n / GROUPED)), 32)
+
+    def dealt(batches):
         for batch in batches:
-            for part in in_slices(batch):
-                held.append((np.concatenate([np.empty(0, np.uint64), *shingle_sets(part.column(1), words)]) >> _U(32)).astype(np.uint32))
-                size += len(held[-1])
-                if size >= SENT:
-                    yield rows(held)
-                    held, size = [], 0
-        if held:
-            yield rows(held)
+            for raw in batch.column(0):
+                values = unpacked(raw.as_buffer(), 0, np.uint16)
+                cut = np.append(np.searchsorted(values, starts), len(values))
+                some = np.flatnonzero(np.diff(cut))
+                body = [packed(values[cut[j] : cut[j + 1]], int(starts[j]), np.uint16) for j in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "body"])
+                del values
+            released()
 
     def count(found: pa.Table) -> pa.Table:
         first = int(starts[found["bucket"][0].as_py()])
@@ -249,7 +294,7 @@ def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
         released()
         return out
 
-    found = docs.select("node", "text").mapInArrow(run, "bucket int, body binary").groupBy("bucket").applyInArrow(count, "shingle long, n long")
+    found = counted.where("body is not null").select("body").mapInArrow(dealt, "bucket int, body binary").groupBy("bucket").applyInArrow(count, "shingle long, n long")
     # A million hashes at most, whatever the input.
     best = found.orderBy(F.desc("n"), "shingle").limit(KNOWN).select("shingle").toArrow()["shingle"]
     return np.sort(best.to_numpy().astype(np.uint32))
@@ -270,20 +315,36 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def shapes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, doc_id, n_shingles, f1, f2) of docs (node, doc_id, text)."""
+    """(node, doc_id, n_shingles, f1, f2, body) of docs (node, doc_id, text).
+
+    Further rows have a body alone: the first halves of the hashes of about SENT shingles, as steps of 16 bits, so that texts are
+    cut into shingles once for both.
+    """
+    names = ["node", "doc_id", "n_shingles", "f1", "f2", "body"]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        body = packed(np.sort(np.concatenate(held)).astype(np.uint64), 0, np.uint16)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([body], pa.binary())], names=names)
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in in_slices(batch, 2):
                 sets = shingle_sets(part.column(2), words)
                 with np.errstate(over="ignore"):
                     f1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                     f2 = np.array([mixed(x + _U(77)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1), pa.array(f2)], names=["node", "doc_id", "n_shingles", "f1", "f2"]
-                )
+                own = [pa.array([len(x) for x in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own], names=names)
+                held.append((np.concatenate([np.empty(0, np.uint64), *sets]) >> _U(32)).astype(np.uint32))
+                size += len(held[-1])
+                if size >= SENT:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
 
-    return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, n_shingles long, f1 long, f2 long, body binary")
 
 
 def _near_ids(node: np.ndarray) -> tuple[int, int, bytes]:
@@ -297,31 +358,68 @@ def _near_ids_read(base: int, width: int, raw) -> np.ndarray:
     return np.frombuffer(raw, np.int64) if width == 8 else np.frombuffer(raw, f"u{width}").astype(np.int64) + base
 
 
+def key_bytes(flat: np.ndarray, held: np.ndarray) -> pa.Array:
+    """The first KEY_BYTES bytes of keys, of which every row holds so many."""
+    raw = (flat.view(np.uint64) >> _U(64 - 8 * KEY_BYTES)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+    at = np.concatenate([[0], KEY_BYTES * np.cumsum(held)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
+
+def key_bytes_read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all rows in their order, keys that every row holds)."""
+    held = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // KEY_BYTES
+    out = np.zeros((int(held.sum()), 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel(), held
+
+
+def region_keys(docs: DataFrame, words: int, percent: int, common: np.ndarray | None) -> DataFrame:
+    """(node, sampled, others) of docs (node, text): the keys of every text's regions, those of the sample and the others."""
+
+    def run(batches):
+        regions = Regions(percent, common)
+        for batch in batches:
+            for part in in_slices(batch):
+                sets = shingle_sets(part.column(1), words)
+                own = [regions.keys(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
+                flat, of = np.concatenate([np.empty(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(k) for k in own])
+                first = flat % SAMPLED == 0
+                kinds = [key_bytes(flat[x], np.bincount(of[x], minlength=len(own))) for x in (first, ~first)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *kinds], names=["node", "sampled", "others"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, sampled binary, others binary")
+
+
 def chained(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, common: np.ndarray | None = None, n: int = 0) -> DataFrame:
     """Edges (u, v) that connect all texts of docs (node, text) that share a region; n: about how many shingles they have.
 
     Of texts that share most of their regions every task would send an edge. So a sample of the regions is met first, and what it
     connects is one node for the others, whose tasks then only send what is new: what texts with few regions in common share.
+    The keys of the regions are stored in between, so that each text is cut into shingles once.
     """
-    own = docs.select("node", "text", F.lit(None).cast("long").alias("head"))
+    keys, alone = region_keys(docs, words, percent, common), F.lit(None).cast("long").alias("head")
     if n <= GROUPED:
-        return _chained(own, words, percent, common, n)
-    found = connected_components(_chained(own, words, percent, common, n // SAMPLED, True), "jaccard-sample")
+        return _chained(keys.select("node", F.concat("sampled", "others").alias("keys"), alone), n)
+    keys = materialize(keys, "jaccard-keys")
+    found = connected_components(_chained(keys.select("node", F.col("sampled").alias("keys"), alone), n // SAMPLED), "jaccard-sample")
     heads = materialize(found.where("node <> component").select("node", F.col("component").alias("head")), "jaccard-heads")
-    own = attached(docs.select("node", "text"), heads, "node", BROADCAST_ROWS, "left").select("node", "text", "head")
-    return _chained(own, words, percent, common, n, False).unionByName(heads.select(F.col("node").alias("u"), F.col("head").alias("v")))
+    others = attached(keys.select("node", F.col("others").alias("keys")), heads, "node", BROADCAST_ROWS, "left").select("node", "keys", "head")
+    edges = materialize(_chained(others, n).unionByName(heads.select(F.col("node").alias("u"), F.col("head").alias("v"))), "jaccard-edges")
+    forget(keys)
+    forget(heads)
+    return edges
 
 
-def _chained(docs: DataFrame, words: int, percent: int, common: np.ndarray | None, n: int, sample: bool | None = None) -> DataFrame:
-    """Edges (u, v) between the nodes of docs (node, text, head) that share a region, of the sample or of the others alone; a head stands for its nodes.
+def _chained(docs: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) between the nodes of docs (node, keys, head) that share a region; a head stands for its nodes.
 
     A task chains the texts that share a region as far as it holds them, and sends each region with one of them. Regions are told
     by 48 bits here, sent as steps of 32 bits; what that puts together by chance is compared like the rest.
     """
-    starts = _starts(max(1, math.ceil(n / GROUPED)), 48)
+    starts = _starts(max(1, math.ceil(n / GROUPED)), 8 * KEY_BYTES)
 
     def rows(keys: list[np.ndarray], nodes: list[np.ndarray], moved: list[np.ndarray]) -> pa.RecordBatch:
-        flat, node, far = np.concatenate(keys).view(np.uint64) >> _U(16), np.concatenate(nodes), np.concatenate(moved)
+        flat, node, far = np.concatenate(keys), np.concatenate(nodes), np.concatenate(moved)
         order = np.argsort(flat, kind="stable")
         flat, node, far = flat[order], node[order], far[order]
         first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
@@ -343,15 +441,11 @@ def _chained(docs: DataFrame, words: int, percent: int, common: np.ndarray | Non
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "body", "base", "width", "ids"])
 
     def run(batches):
-        regions, keys, nodes, moved, size = Regions(percent, common), [], [], [], 0
+        keys, nodes, moved, size = [], [], [], 0
         for batch in batches:
             for part in in_slices(batch):
-                sets = shingle_sets(part.column(1), words)
-                own = [regions.keys(x, y) for x, y in zip(sets, regions.rare(sets), strict=True)]
-                if sample is not None:
-                    own = [k[(k % SAMPLED == 0) == sample] for k in own]
-                held = [len(k) for k in own]
-                keys.append(np.concatenate([np.empty(0, np.int64), *own]))
+                own, held = key_bytes_read(part.column(1))
+                keys.append(own)
                 nodes.append(np.repeat(pc.coalesce(part.column(2), part.column(0)).to_numpy(), held))
                 moved.append(np.repeat(pc.is_valid(part.column(2)).to_numpy(zero_copy_only=False), held))
                 size += len(keys[-1])
@@ -383,7 +477,7 @@ def _chained(docs: DataFrame, words: int, percent: int, common: np.ndarray | Non
         released()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    found = docs.select("node", "text", "head").mapInArrow(run, "bucket int, body binary, base long, width int, ids binary")
+    found = docs.select("node", "keys", "head").mapInArrow(run, "bucket int, body binary, base long, width int, ids binary")
     return found.groupBy("bucket").applyInArrow(met, "u long, v long")
 
 
@@ -689,12 +783,14 @@ def links_of(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, commo
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, doc_id, n_shingles, component) of every row of docs (node, doc_id, text); component is a node of its own, null without shingles."""
-    signed = materialize(shapes(docs, words), "jaccard-sets")
+    counted = materialize(shapes(docs, words), "jaccard-counted")
+    signed = materialize(counted.where("n_shingles is not null").drop("body"), "jaccard-sets")
     shape = F.struct("f1", "f2", "n_shingles")
     some = signed.where("n_shingles > 0").withColumn("shape", shape)
     first = materialize(some.groupBy("shape").agg(F.min("node").alias("rep"), F.count("*").alias("copies")), "jaccard-first")
     n = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    common = common_shingles(docs, words, n)
+    common = most_common(counted, n)
+    forget(counted)
     clusters = connected_components(chained(docs, words, percent, common, n), "jaccard-clusters")
     # Texts with equal sets share their regions, so one of them stands for all.
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("region")).join(first.select("rep"), "rep").withColumnRenamed("rep", "node"), "jaccard-nodes")

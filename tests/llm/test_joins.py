@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quarryline.llm import covertree, hamming, jaccard
 from quarryline.llm._shared import connected_components, salted_lookup
@@ -148,6 +149,45 @@ def test_packed_values_come_back(kind, bits):
         assert (jaccard.unpacked(jaccard.packed(values, 2**20, kind), 2**20, kind) == values).all()
 
 
+def test_texts_are_read_three_times(spark, monkeypatch, tmp_path):
+    """Texts are cut once for their sets and the common shingles, once for all their regions, and once where they are compared."""
+    monkeypatch.setattr(jaccard, "GROUPED", 2000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, f"{t} end") for i, t in rows[:50]]
+    log = str(tmp_path / "read")
+
+    def noted(batches):
+        for batch in batches:
+            with open(log, "a") as out:
+                out.write(f"{len(batch)}\n")
+            yield batch
+
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "node long, doc_id long, text string")
+    found = jaccard.components(docs.mapInArrow(noted, docs.schema)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component) for r in found} == brute_jaccard(rows)
+    assert sum(int(n) for n in open(log)) <= 3 * len(rows)
+
+
+def test_word_hashes_are_those_of_xxhash():
+    rng = random.Random(2)
+    words = ["", *("".join(rng.choice("ab\0\u00e9\U0001f600") for _ in range(n)) for n in range(1, 80) for _ in range(20))]
+    wanted = [xxhash.xxh64_intdigest(w) for w in words]
+    for kind in (pa.string(), pa.large_string()):
+        assert jaccard.word_hashes(pa.array(words, kind)).tolist() == wanted
+        assert jaccard.word_hashes(pa.array(words, kind)[5:90]).tolist() == wanted[5:90]
+    assert len(jaccard.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_keys_come_back_by_their_first_bytes():
+    keys = np.random.default_rng(6).integers(-(2**63), 2**63, 100)
+    for held in ([0, 3, 0, 97], [100], [0] * 4 + [100, 0]):
+        own, rows = jaccard.key_bytes_read(jaccard.key_bytes(keys, np.array(held)))
+        assert (own == keys.view(np.uint64) >> np.uint64(16)).all() and rows.tolist() == held
+        tail, rows = jaccard.key_bytes_read(jaccard.key_bytes(keys, np.array(held))[1:])
+        assert (tail == own[held[0] :]).all() and rows.tolist() == held[1:]
+
+
 def test_common_shingles_are_counted_in_all_texts(spark):
     """What COMMON texts hold is common, and what one text fewer holds is not, however many texts there are."""
     passages = [f"p{k} q{k} r{k}" for k in range(40)]
